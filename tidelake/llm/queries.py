@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import credentials, divergence, line_edit, merge_count, mixing, rule_ensemble, simhash, token_files, winnowing
+from . import credentials, divergence, line_edit, merge_count, mixing, rule_ensemble, simhash, suffix_blocks, token_files, winnowing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,11 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encoded(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_blocks.dedup_bytes(table(spark, sf_dir, "documents"), keep_text=False)
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.lower(F.hex("kept")).alias("kept_sha256"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_edit.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", "n_links", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -80,7 +85,7 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 QUERIES = {
     q.__name__: _shipped(q)
-    for q in (op1_simhash, op2_quality, op3_mixing, op4_token_files, op6_line_dedup, op7_secrets, op8_divergence, op9_decontamination, op10_token_counts)
+    for q in (op1_simhash, op2_quality, op3_mixing, op4_token_files, op5_suffix_dedup, op6_line_dedup, op7_secrets, op8_divergence, op9_decontamination, op10_token_counts)
 }
 
 ORACLES: dict[str, str] = {}
