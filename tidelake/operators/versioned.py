@@ -282,7 +282,7 @@ class VersionedTable:
         if not folder:
             physical = T.StructType([T.StructField(_stored(f), f.dataType) for f in snap.schema.fields if f.name not in snap.partition_columns])
             for r in skipping.file_statistics(self.spark.read.schema(physical).parquet(*(f"{stage}/{n}" for n, _, _ in found))).collect():
-                stats[r["file"].rpartition("/")[2]] = (r["num_records"], r["stats"].asDict(recursive=True))
+                stats[unquote(r["file"]).partition(f"_stage-{mark}/")[2]] = (r["num_records"], r["stats"].asDict(recursive=True))
         for name, size, at in found:
             parent, _, file = name.rpartition("/")
             target = f"{folder}{parent + '/' if parent else ''}{mark}-{file}"
@@ -291,8 +291,8 @@ class VersionedTable:
                 raise OSError(f"can't move {name}")
             values = {unquote(k): None if v == "__HIVE_DEFAULT_PARTITION__" else unquote(v) for k, v in (p.split("=", 1) for p in parent.split("/") if p)}
             entry = {"path": quote(target, safe="/=:@!$&'()*,;~"), "partitionValues": values, "size": size, "modificationTime": at, "dataChange": True}
-            if file in stats:
-                n, by_column = stats[file]
+            if name in stats:
+                n, by_column = stats[name]
                 entry["stats"] = json.dumps({
                     "numRecords": n, "minValues": {c: _plain(s["min"]) for c, s in by_column.items() if s and s["min"] is not None and _plain(s["min"]) is not None},
                     "maxValues": {c: _plain(s["max"]) for c, s in by_column.items() if s and s["max"] is not None and _plain(s["max"]) is not None},
