@@ -19,7 +19,7 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEATED_PERCENT, WINDOW = 20, 30, 8
 #: Character classes, as what isn't in them; the rest of the text is one more class.
 CLASSES = {
-    "lower": r"[^\p{Ll}]+", "upper": r"[^\p{Lu}]+", "digit": r"[^0-9]+", "space": r"[^\x20\x09-\x0D]+",
+    "upper": r"[^\p{Lu}]+", "digit": r"[^0-9]+", "space": r"[^\x20\x09-\x0D]+",
     "stop": r"[^.,;:'()-]+", "symbol": r"[^#*$%&|<>!?@=_+/\\^~{}\[\]]+",
 }
 COMMON_WORDS = 12
@@ -107,8 +107,9 @@ def base_counts(rows: DataFrame) -> DataFrame:
         "__hash": F.transform("__words", lambda w: F.xxhash64(w)),
     }).drop("__lines")
     many = F.size("__hash") > WINDOW
-    # elements by number: slice() would copy the whole array for each window
-    grams = F.transform(F.sequence(F.lit(0), F.size("__hash") - WINDOW), lambda i: F.xxhash64(*(F.col("__hash")[i + k] for k in range(WINDOW))))
+    # elements by number: slice() would copy the whole array for each window; here it cuts off windows beyond the end
+    grams = F.transform("__hash", lambda x, i: F.xxhash64(x, *(F.get("__hash", i + k) for k in range(1, WINDOW))))
+    grams = F.slice(grams, F.lit(1), F.size("__hash") - (WINDOW - 1))
     rows = rows.withColumn("__grams", F.when(many, grams).otherwise(F.array().cast("array<long>"))).drop("__hash")
     twice = F.size(F.array_distinct("__grams")) < F.size("__grams")
     empty = F.array().cast("array<struct<g:long,i:int>>")
@@ -135,14 +136,17 @@ def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> D
     """
     refs = references(docs, text_col, lang_col).filter(F.col("total") >= MIN_REFERENCE).drop("total")
     refs = _with_shares(_with_shares(refs, "classes", "__classes"), "common", "__common")
-    refs = refs.select(F.col("lang").alias("__lang"), "__classes", F.col("top").alias("__top"), "__common")
+    longest = F.array_max(F.transform("top", lambda w: F.octet_length(w)))
+    refs = refs.select(F.col("lang").alias("__lang"), "__classes", F.col("top").alias("__top"), longest.alias("__longest"), "__common")
     refs = saved(refs)
     if len(refs.select("__lang").take(MAX_LANGUAGES + 1)) <= MAX_LANGUAGES:
         refs = F.broadcast(refs)
     rows = base_counts(docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit(""))))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed).join(refs, F.col(lang_col).eqNullSafe(F.col("__lang")), "left")
-    rows = rows.withColumn("__low", F.when(F.col("__top").isNotNull(), F.filter(F.transform("__words", lambda w: F.lower(w)), lambda w: F.array_contains(F.col("__top"), w)))).drop("__words")
+    # few words are as short as the common ones, so length is tested first
+    rows = rows.withColumn("__low", F.when(F.col("__top").isNotNull(), F.transform(F.filter("__words", lambda w: F.octet_length(w) <= F.col("__longest")), lambda w: F.lower(w)))).drop("__words")
+    rows = rows.withColumn("__low", F.filter("__low", lambda w: F.array_contains(F.col("__top"), w)))
     mine = F.transform("__top", lambda t: F.size(F.filter("__low", lambda w: w == t)).cast("long"))
     rows = rows.withColumn("__mine", F.concat(mine, F.array(F.col("n_words") - F.size("__low")))).drop("__low")
     rows = _with_shares(rows, "__mine", "__mine")
@@ -153,4 +157,4 @@ def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> D
         "word_distance": F.when(F.col("__mine").isNotNull() & (F.col("n_words") >= MIN_COMMON), js_distance(F.col("__mine"), F.col("__common"))),
     })
     diverges = (F.coalesce("class_distance", F.lit(0.0)) > MAX_CLASS_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE)
-    return rows.withColumn("kept", ~F.col("base_failed") & ~diverges).drop("__text", "__mine", "__classes_of", "__lang", "__classes", "__top", "__common")
+    return rows.withColumn("kept", ~F.col("base_failed") & ~diverges).drop("__text", "__mine", "__classes_of", "__lang", "__classes", "__top", "__longest", "__common")
