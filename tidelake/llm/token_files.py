@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from .common import scratch
 
 BLOCK_TOKENS = 1 << 20
-ROUNDS = 4
-RULES_A_ROUND = 4096
+ROUNDS = 2
+RULES_A_ROUND = 8192
 LEAST_COUNT = 8
 REMEMBERED = 1 << 20
 
@@ -66,7 +66,9 @@ class Encoder:
         if len(self.known) > REMEMBERED:
             self._forget()
         known = self.known
-        new = [w for w in parts if w not in known]
+        place = list(map(known.get, parts))
+        unknown = [i for i, p in enumerate(place) if p is None]
+        new = [parts[i] for i in unknown]
         for i in range(0, len(new), 16384):
             some = new[i : i + 16384]
             found = self.library.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
@@ -76,7 +78,9 @@ class Encoder:
             self.first = np.concatenate((self.first, len(self.store) + np.cumsum(size) - size))
             self.size = np.concatenate((self.size, size))
             self.store = np.concatenate((self.store, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(size.sum()))))
-        return np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
+        for i, w in zip(unknown, new):
+            place[i] = known[w]
+        return np.array(place, np.int64)
 
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids of each) for an Arrow array of strings; null: none."""
@@ -211,10 +215,10 @@ def _blocks(path: str, end_id: int, first_rule: int, block_tokens: int, rounds:
         encode = encoder(path).encode
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1)
-            for i in range(0, len(keys), 2048):
-                tokens, counts = encode(texts[i : i + 2048])
+            for i in range(0, len(keys), 4096):
+                tokens, counts = encode(texts[i : i + 4096])
                 upto = np.cumsum(counts)
-                for key, n, z in zip(keys[i : i + 2048], counts.tolist(), upto.tolist()):
+                for key, n, z in zip(keys[i : i + 4096], counts.tolist(), upto.tolist()):
                     ids.append(key)
                     lens.append(n + 1)
                     parts += (tokens[z - n : z], end)
