@@ -21,8 +21,11 @@ BROADCAST_WORDS = 2_000_000  # words of all items up to which their grams are br
 
 def words_column(text: Column) -> Column:
     """Words of a text, A-Z lower-cased: letters, digits and all that is not ASCII. Null: none."""
-    found = F.array_remove(F.split(F.coalesce(text, F.lit("")), NO_WORD), "")
-    return F.transform(found, ascii_lower)
+    text = F.coalesce(text, F.lit(""))
+    plain = F.length(text) == F.octet_length(text)  # pure ASCII is lower-cased as a whole
+    return F.when(plain, F.array_remove(F.split(F.lower(text), NO_WORD), "")).otherwise(
+        F.transform(F.array_remove(F.split(text, NO_WORD), ""), ascii_lower)
+    )
 
 
 def _grams(hashes: str, size: int) -> Column:
@@ -31,8 +34,8 @@ def _grams(hashes: str, size: int) -> Column:
     Elements are taken by number: slice() would copy the whole array for each gram.
     """
     h = F.col(hashes)
-    entry = lambda i: F.shiftleft(F.xxhash64(*(h[i + k] for k in range(size))), 32) + i.cast("long")
-    return F.when(F.size(h) >= size, F.transform(F.sequence(F.lit(0), F.size(h) - size), entry)).otherwise(F.array().cast("array<long>"))
+    entry = lambda x, i: F.shiftleft(F.xxhash64(x, *(F.get(h, i + k) for k in range(1, size))), 32) + i
+    return F.when(F.size(h) >= size, F.slice(F.transform(h, entry), F.lit(1), F.size(h) - (size - 1))).otherwise(F.array().cast("array<long>"))
 
 
 def _kept(rows: DataFrame, words: str, short: list[int], items: bool) -> DataFrame:
@@ -44,7 +47,8 @@ def _kept(rows: DataFrame, words: str, short: list[int], items: bool) -> DataFra
     rows = rows.withColumn("__g", F.when(F.size("__hash") >= SHARED, _grams("__hash", GRAM)).otherwise(F.array().cast("array<long>")))
     span = SHARED - GRAM + 1
     g = F.col("__g")
-    least = F.transform(F.sequence(F.lit(0), F.size(g) - span), lambda j: F.least(*(g[j + k] for k in range(span))))
+    # runs that reach beyond the end are cut off
+    least = F.slice(F.transform(g, lambda x, j: F.least(x, *(F.get(g, j + k) for k in range(1, span)))), F.lit(1), F.greatest(F.size(g) - (span - 1), F.lit(0)))
     rows = rows.withColumn("__p", F.when(F.size(g) >= span, F.array_distinct(least)).otherwise(F.array().cast("array<long>")))
 
     def entries(grams, t: int, k: int) -> Column:
