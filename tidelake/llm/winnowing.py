@@ -39,28 +39,30 @@ def _grams(hashes: str, size: int) -> Column:
 
 
 def _kept(rows: DataFrame, words: str, short: list[int], items: bool) -> DataFrame:
-    """rows with fps: array of (t, k, h, p): window words, gram words, hash, place of kept grams.
+    """rows with t, k, h, p for each kept gram: window words, gram words, hash, place; a row without grams has nulls.
 
-    The least of a run is that of least hash, the first of equal ones.
+    The least of a run is that of least hash, the first of equal ones. Grams stay plain
+    longs until they are rows, so that no object is made for one. The generators are
+    outer, as Spark would else test each array for emptiness before it is made, by making it.
     """
     rows = rows.withColumn("__hash", F.transform(words, lambda w: F.xxhash64(w)))
-    rows = rows.withColumn("__g", F.when(F.size("__hash") >= SHARED, _grams("__hash", GRAM)).otherwise(F.array().cast("array<long>")))
+    grams = rows.withColumn("__g", F.when(F.size("__hash") >= SHARED, _grams("__hash", GRAM)).otherwise(F.array().cast("array<long>"))).drop("__hash")
     span = SHARED - GRAM + 1
     g = F.col("__g")
     # runs that reach beyond the end are cut off
     least = F.slice(F.transform(g, lambda x, j: F.least(x, *(F.get(g, j + k) for k in range(1, span)))), F.lit(1), F.greatest(F.size(g) - (span - 1), F.lit(0)))
-    rows = rows.withColumn("__p", F.when(F.size(g) >= span, F.array_distinct(least)).otherwise(F.array().cast("array<long>")))
+    grams = grams.withColumn("__p", F.when(F.size(g) >= span, F.array_distinct(least)).otherwise(F.array().cast("array<long>"))).drop("__g")
 
-    def entries(grams, t: int, k: int) -> Column:
-        return F.transform(grams, lambda x: F.struct(
-            F.lit(t).alias("t"), F.lit(k).alias("k"), F.shiftright(x, 32).alias("h"), x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("p")
-        ))
+    def entries(frame: DataFrame, t: int, k: int) -> DataFrame:
+        x = F.col("__x")
+        place = x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+        return frame.withColumn("__x", F.explode_outer("__p")).drop("__p").withColumns({"t": F.lit(t), "k": F.lit(k), "h": F.shiftright(x, 32), "p": place}).drop("__x")
 
-    kept = [entries(F.col("__p"), SHARED, GRAM)]
+    out = entries(grams, SHARED, GRAM)
     for n in short:
-        whole = entries(_grams("__hash", n), n, n)
-        kept.append(F.when(F.size(words) == n, whole).otherwise(F.array().cast("array<struct<t:int,k:int,h:long,p:int>>")) if items else whole)
-    return rows.withColumn("fps", F.concat(*kept)).drop("__hash", "__g", "__p")
+        some = rows.filter(F.size(words) == n) if items else rows
+        out = out.unionByName(entries(some.withColumn("__p", _grams("__hash", n)).drop("__hash"), n, n))
+    return out
 
 
 def _around(words: str, p: Column, k: Column, t: Column) -> tuple[Column, Column, Column]:
@@ -88,20 +90,19 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     items = saved(benchmark.select(F.col(item_col).alias("item"), words_column(F.col(text_col)).alias("iw")).filter(F.size("iw") > 0))
     sizes = items.agg(F.sum(F.size("iw")).alias("n"), F.collect_set(F.when(F.size("iw") < SHARED, F.size("iw"))).alias("short")).first()
     short = sorted(sizes["short"])
-    parts = _kept(items, "iw", short, True).select("item", "iw", F.inline_outer("fps"))
+    parts = _kept(items, "iw", short, True).filter("h is not null")
     left, core, right = _around("iw", F.col("p"), F.col("k"), F.col("t"))
     parts = parts.select("t", "h", "item", left.alias("il"), core.alias("ic"), right.alias("ir"))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), words_column(F.col(text_col)).alias("w"))
-    rows = _kept(rows, "w", short, False)
+    grams = _kept(rows, "w", short, False)
     left, core, right = _around("w", F.col("p"), F.col("k"), F.col("t"))
     around = (left.alias("dl"), core.alias("dc"), right.alias("dr"))
     if (sizes["n"] or 0) <= broadcast_words:
-        # outer, as Spark would else test every array for emptiness before it is made, by making it;
         # grams without a partner end in the join's probe, before any words are copied
-        found = rows.select("id", "mark", "w", F.inline_outer("fps")).join(F.broadcast(parts), ["t", "h"])
+        found = grams.join(F.broadcast(parts), ["t", "h"])
         found = found.select("id", "mark", "t", "k", "p", "item", "il", "ic", "ir", *around)
     else:
-        found = rows.select("id", "mark", "w", F.inline_outer("fps")).select("id", "mark", "t", "h", "k", "p", *around).join(parts, ["t", "h"])
+        found = grams.select("id", "mark", "t", "h", "k", "p", *around).join(parts, ["t", "h"])
     found = found.filter(F.col("dc") == F.col("ic")).withColumns({"l": _run("dl", "il"), "r": _run("dr", "ir")})
     found = found.filter(F.col("l") + F.col("k") + F.col("r") >= F.col("t"))
     spans = found.select("id", "mark", "item", (F.col("p") - F.col("l")).alias("a"), (F.col("p") + F.col("k") + F.col("r")).alias("b"))
