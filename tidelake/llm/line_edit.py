@@ -14,7 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import saved
+
 EDITS, MIN_LENGTH = 2, 16
+BROADCAST_PAIRS = 100_000  # candidate pairs up to which the ids of their lines are broadcast, 8 bytes each
 
 
 def _segment(size: Column, i: int, edits: int) -> tuple[Column, Column]:
@@ -49,13 +52,17 @@ def _probes(edits: int, least: int) -> Column:
     return F.array_distinct(F.array_compact(F.array(*entries)))
 
 
-def line_links(lines: DataFrame, edits: int = EDITS, least: int = MIN_LENGTH) -> DataFrame:
+def line_links(lines: DataFrame, edits: int = EDITS, least: int = MIN_LENGTH, texts: DataFrame | None = None) -> DataFrame:
     """(a, b): distinct pairs of different lines (column line, distinct) within so many edits; both of least code points or more."""
     rows = lines.select("line", F.length("line").alias("size"), F.xxhash64("line").alias("id")).filter(F.col("size") >= least)
     index = rows.select(F.explode_outer(_index(edits)).alias("key"), F.col("id").alias("b"))
     probes = rows.select(F.explode_outer(_probes(edits, least)).alias("key"), F.col("id").alias("a"))
-    pairs = probes.join(index, "key").filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = saved(probes.join(index, "key").filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     text = rows.select("id", "line")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    if pairs.count() <= BROADCAST_PAIRS:  # then only the texts of candidates are shuffled
+        source = (lines if texts is None else texts).select("line", F.xxhash64("line").alias("id"))
+        text = source.join(F.broadcast(wanted), "id", "left_semi").distinct().filter(F.length("line") >= least).select("id", "line")
     pairs = pairs.join(text.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a").join(text.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b")
     close = F.levenshtein("line_a", "line_b", edits)
     return pairs.filter((close >= 0) & (close <= edits)).select(F.col("line_a").alias("a"), F.col("line_b").alias("b"))
@@ -77,11 +84,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .filter(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
         .select("id", "mark", "place", "line", (order.cast("decimal(38,0)") + F.col("place")).cast("decimal(38,0)").alias("at"))
     )
-    distinct = lines.groupBy("line").agg(F.min("at").alias("first"), F.count("*").alias("n"))
-    links = line_links(distinct, edits, least)
+    distinct = lines.select("line").distinct()
+    links = line_links(distinct, edits, least, lines)
     ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     name = lambda c: [F.xxhash64(c).alias("h1"), F.xxhash64(F.lit(7), c).alias("h2")]  # noqa: E731  128 bits stand for a line
-    firsts = distinct.select(*name("line"), "first", "n")
+    firsts = lines.select(*name("line"), "at").groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count("*").alias("n"))  # without texts
     other = ends.select(*name("a"), F.xxhash64("b").alias("o1"), F.xxhash64(F.lit(7), "b").alias("o2"))
     other = other.join(firsts.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("first").alias("other_first")), ["o1", "o2"])
     linked = other.groupBy("h1", "h2").agg(F.min("other_first").alias("nearest"), F.count("*").alias("links"))
