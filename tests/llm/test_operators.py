@@ -208,7 +208,22 @@ def test_line_links_lose_nothing(spark):
             lines.add("".join(s))
     long = [x for x in lines if len(x) >= line_edit.MIN_LENGTH]
     want = {tuple(sorted((a, b))) for a in long for b in long if a < b and plain.lev(a, b, 2) <= 2}
-    got = line_edit.line_links(spark.createDataFrame([(x,) for x in lines], "line string")).collect()
+    for hot in (line_edit.HOT, 1):
+        got = line_edit.line_links(spark.createDataFrame([(x,) for x in lines], "line string"), hot=hot).collect()
+        assert {tuple(sorted((r["a"], r["b"]))) for r in got} == want and len(got) == len(want) > 50
+
+
+def test_family_of_near_copies(spark):
+    rng = random.Random(6)
+    base, lines = [rng.choice("abcdé ") for _ in range(120)], set()
+    for _ in range(60):  # whole words differ, or few characters
+        s = list(base)
+        for _ in range(rng.choice([1, 1, 2, 3])):
+            k = rng.randrange(len(s))
+            s[k : k + rng.choice([0, 1, 1, 2, 5])] = rng.choice(["", "z", "é", "yz", "uvwxy"])
+        lines.add("".join(s))
+    want = {tuple(sorted((a, b))) for a in lines for b in lines if a < b and plain.lev(a, b, 2) <= 2}
+    got = line_edit.line_links(spark.createDataFrame([(x,) for x in lines], "line string"), hot=2).collect()
     assert {tuple(sorted((r["a"], r["b"]))) for r in got} == want and len(got) == len(want) > 50
 
 

@@ -4,60 +4,130 @@ A line is a copy if an earlier line (by document id, then place) lies within EDI
 of it; earlier is judged on the input. Equal lines are collapsed first. Two different lines within t edits
 share one of the t + 1 segments of the shorter one: each distinct line is indexed by its
 segments (length, number, content), and probes, for each length up to t less than its
-own, the substrings that the multi-match-aware windows leave. Candidates are verified by
+own, the substrings that the multi-match-aware windows leave. Where many lines share a
+segment, as families of near copies do, they meet again under longer keys, all of the
+line but t segments of a finer partition. Candidates are verified by
 Spark's levenshtein with a threshold, which computes only a band of the table. Lines
 shorter than MIN_LENGTH match when equal. Built-in functions alone.
 """
 
 from __future__ import annotations
 
+from itertools import combinations, product
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved
 
 EDITS, MIN_LENGTH = 2, 16
+HOT, FAN = 8, 4  # lines beyond which a key is crowded; segments that a damaged one is split into then
 BROADCAST_PAIRS = 100_000  # candidate pairs up to which the ids of their lines are broadcast, 8 bytes each
 
 
-def _segment(size: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """(start, length) of segment i, from 1, of a string of some size; starts count from 1."""
-    parts = edits + 1
-    short = F.floor(size / parts).cast("int")
-    longer = size - short * parts  # so many of the last segments have one character more
-    first_longer = F.lit(parts) - longer
-    extra = F.greatest(F.lit(0), F.lit(i - 1) - first_longer)
-    return short * (i - 1) + extra + 1, short + (F.lit(i) > first_longer).cast("int")
+def _key(size: Column, damaged: list, moves: list, parts: int) -> Column:
+    """Hash of a shorter line's size, its damaged segments (from 0) and the characters of all others.
+
+    Segment i starts at floor(size * i / parts). moves: by how much each damaged segment is
+    longer in the line at hand, so that what follows lies further right.
+    """
 
+    def bound(i) -> Column:
+        return F.floor(size * i / parts).cast("int")
 
-def _index(edits: int) -> Column:
-    entries = []
-    for i in range(1, edits + 2):
-        at, n = _segment(F.col("size"), i, edits)
-        entries.append(F.xxhash64(F.col("size"), F.lit(i), F.substring("line", at, n)))
-    return F.array(*entries)
+    pieces, at, shift = [], 0, 0
+    for d, move in zip([*damaged, parts], [*moves, 0]):
+        if not (isinstance(d, int) and isinstance(at, int) and d == at):
+            pieces.append(F.substring("line", bound(at) + shift + 1, bound(d) - bound(at)))
+        at, shift = d + 1, shift + move
+    return F.xxhash64(size, *(F.lit(d) if isinstance(d, int) else d for d in damaged), *pieces)
 
 
-def _probes(edits: int, least: int) -> Column:
+def _runs(damaged: tuple[int, ...]) -> list[int]:
+    """For each damaged segment the length of its run if it ends the run, else 0."""
+    runs, n = [], 0
+    for d, after in zip(damaged, (*damaged[1:], -1)):
+        n += 1
+        runs.append(0 if after == d + 1 else n)
+        n = 0 if runs[-1] else n
+    return runs
+
+
+def _first_ways(edits: int, probing: bool) -> list[tuple[list[int], list[int]]]:
+    """(damaged segments, moves) of edits + 1 segments.
+
+    A line within `edits` edits damages at most as many segments. Sets of exactly so many
+    are enough, in which a run of r neighbours moves what follows by r at most, as a segment
+    with several edits counts its neighbours as damaged too. An index needs no moves.
+    """
+    ways = []
+    for damaged in combinations(range(edits + 1), edits):
+        for moves in product(*(range(-r, r + 1) if probing else (0,) for r in _runs(damaged))):
+            if 0 <= sum(moves) <= edits:
+                ways.append((list(damaged), list(moves)))
+    return ways
+
+
+def _first_keys(rows: DataFrame, edits: int, least: int, probing: bool) -> DataFrame:
+    """(id, size of the shorter line, key, way) for each way of _first_ways."""
     entries = []
-    for less in range(edits + 1):
-        other = F.col("size") - less
-        for i in range(1, edits + 2):
-            at, n = _segment(other, i, edits)
-            first, last = max(-(i - 1), less - (edits + 1 - i)), min(i - 1, less + edits + 1 - i)
-            for shift in range(first, last + 1):
-                start = at + shift
-                fits = (other >= least) & (start >= 1) & (start + n - 1 <= F.col("size"))
-                entries.append(F.when(fits, F.xxhash64(other, F.lit(i), F.substring("line", start, n))))
-    return F.array_distinct(F.array_compact(F.array(*entries)))
-
-
-def line_links(lines: DataFrame, edits: int = EDITS, least: int = MIN_LENGTH, texts: DataFrame | None = None) -> DataFrame:
+    for number, (damaged, moves) in enumerate(_first_ways(edits, probing)):
+        size = F.col("size") - sum(moves)
+        entries.append(F.when(size >= least, F.struct(_key(size, damaged, moves, edits + 1).alias("key"), size.alias("short"), F.lit(number).alias("way"))))
+    return rows.select("id", F.explode(F.array_compact(F.array(*entries))).alias("e")).select("id", "e.*")
+
+
+def _finer_keys(crowded: DataFrame, rows: DataFrame, edits: int, parts: int, probing: bool) -> DataFrame:
+    """(id, short, key, damaged, less): keys of lines that met under a crowded key, its damaged segments split into FAN each.
+
+    The segments still damaged are `edits` of these, in any way.
+    """
+    choices = []
+    for places in combinations(range(FAN * edits), edits):
+        for moves in product(range(-edits, edits + 1), repeat=edits) if probing else [(0,) * edits]:
+            if 0 <= sum(moves) and sum(map(abs, moves)) <= edits:
+                choices.append([sum(moves), *(p // FAN for p in places), *(p % FAN for p in places), *moves])
+    met = crowded.join(rows, "id").select("id", "short", "line", "less", "damaged", F.explode(F.lit(choices)).alias("c")).filter(F.col("c")[0] == F.col("less"))
+    damaged = [F.get("damaged", F.col("c")[1 + k]) * FAN + F.col("c")[1 + edits + k] for k in range(edits)]
+    met = met.select("id", "short", "line", "less", "c", F.array(*damaged).alias("damaged"))
+    key = _key(F.col("short"), [F.col("damaged")[k] for k in range(edits)], [F.col("c")[1 + 2 * edits + k] for k in range(edits)], parts)
+    return met.select("id", "short", key.alias("key"), "damaged", "less").distinct()
+
+
+def _candidates(rows: DataFrame, edits: int, least: int, hot: int) -> DataFrame:
+    """(a, b): ids of lines that share a key, repeats included.
+
+    A key that more than `hot` lines are indexed under is not joined: its lines meet again
+    under longer keys, of more and smaller segments, until a segment would be empty. Keys
+    that are crowded then leave a few characters open, so what they join are mostly links.
+    """
+    parts, found = edits + 1, None
+    index, probes = (_first_keys(rows, edits, least, probing) for probing in (False, True))
+    while True:
+        crowded = index.groupBy("key").agg(F.count("*").alias("n"), F.min("short").alias("short"))
+        crowded = saved(crowded.filter((F.col("n") > hot) & (F.col("short") >= parts * FAN)).select("key"))
+        pairs = probes.select("key", F.col("id").alias("a")).join(index.join(crowded, "key", "left_anti").select("key", F.col("id").alias("b")), "key")
+        pairs = pairs.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        found = pairs if found is None else found.unionByName(pairs)
+        if crowded.isEmpty():
+            return found
+        if parts == edits + 1:  # only lines with crowded keys go on
+            rows = saved(rows.join(probes.join(crowded, "key", "left_semi").select("id").distinct(), "id", "left_semi"))
+            again = []
+            for probing in (False, True):
+                ways = _first_ways(edits, probing)
+                entry = _first_keys(rows, edits, least, probing).join(crowded, "key", "left_semi")
+                again.append(entry.select("id", "short", F.get(F.lit([w[0] for w in ways]), F.col("way")).alias("damaged"), F.get(F.lit([sum(w[1]) for w in ways]), F.col("way")).alias("less")))
+        else:
+            again = [entry.join(crowded, "key", "left_semi").drop("key") for entry in (index, probes)]
+        parts *= FAN
+        index, probes = (saved(_finer_keys(entry.distinct(), rows, edits, parts, probing)) for entry, probing in zip(again, (False, True)))
+
+
+def line_links(lines: DataFrame, edits: int = EDITS, least: int = MIN_LENGTH, texts: DataFrame | None = None, hot: int = HOT) -> DataFrame:
     """(a, b): distinct pairs of different lines (column line, distinct) within so many edits; both of least code points or more."""
     rows = lines.select("line", F.length("line").alias("size"), F.xxhash64("line").alias("id")).filter(F.col("size") >= least)
-    index = rows.select(F.explode_outer(_index(edits)).alias("key"), F.col("id").alias("b"))
-    probes = rows.select(F.explode_outer(_probes(edits, least)).alias("key"), F.col("id").alias("a"))
-    pairs = saved(probes.join(index, "key").filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    pairs = saved(_candidates(rows, edits, least, hot).distinct())
     text = rows.select("id", "line")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     if pairs.count() <= BROADCAST_PAIRS:  # then only the texts of candidates are shuffled
