@@ -1,6 +1,8 @@
 import collections
+import itertools
 import random
 import sys
+import unicodedata
 import zlib
 from pathlib import Path
 
@@ -256,6 +258,25 @@ def test_divergence(spark, df, docs, empty):
     assert not kept[100] and sum(kept.values()) >= 38
 
 
+def test_divergence_of_replaced_letters(spark):
+    rng = random.Random(4)
+    good = [(i, " ".join(rng.choice(["The", "of", "and", "to", "in", "sea", "ship", "wind"]) + rng.choice(["", "s", "er", ".", ""]) for _ in range(200)), "en") for i in range(40)]
+    odd = [(100 + i, "".join(o if c.islower() else c for c, o in zip(good[i][1], itertools.cycle(other))), "en") for i, other in enumerate(["漢字", "\ufffd", "`", '"', "\x01"])]
+    found = divergence.judged(spark.createDataFrame(good + odd, "doc_id long, text string, lang string")).collect()
+    assert all(r["kept"] for r in found if r["doc_id"] < 100)
+    assert all(r["class_distance"] > divergence.MAX_CLASS_DISTANCE and not r["kept"] for r in found if r["doc_id"] >= 100)
+    texts = ["aÀß𝐚Ⅷ漢 \t\x0b\x85\xa0.,-x'()#[]^\\~9٣`\"", "", "Ab 1"]
+    counts = divergence._with_classes(spark.createDataFrame([(t,) for t in texts], "t string"), "t").collect()
+    for r in counts:
+        want = collections.Counter(
+            {"Ll": "lower", "Lu": "upper"}.get(unicodedata.category(c)) or ("digit" if c in "0123456789" else "space" if c in " \t\n\x0b\f\r" else "stop" if c in ".,;:'()-" else "symbol" if c in "#*$%&|<>!?@=_+/\\^~{}[]" else "rest")
+            for c in r["t"]
+        )
+        assert r["__classes_of"] == [want[c] for c in (*divergence.CLASSES, "rest")]
+    broken = spark.sql("select cast(x'E46162C3' as string) as t")  # invalid UTF-8: no count below zero
+    assert [r["__classes_of"] for r in divergence._with_classes(broken, "t").collect()] == [[2, 0, 0, 0, 0, 0, 2]]
+
+
 @pytest.mark.parametrize("limit", [winnowing.BROADCAST_WORDS, 0])
 def test_decontamination(spark, df, docs, empty, limit):
     rng = random.Random(8)

@@ -17,10 +17,10 @@ from .common import saved
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEATED_PERCENT, WINDOW = 20, 30, 8
-#: Character classes, as what isn't in them; the rest of the text is one more class.
+#: Character classes, which share no character; the rest of the text is one more class. The largest come first.
 CLASSES = {
-    "upper": r"[^\p{Lu}]+", "digit": r"[^0-9]+", "space": r"[^\x20\x09-\x0D]+",
-    "stop": r"[^.,;:'()-]+", "symbol": r"[^#*$%&|<>!?@=_+/\\^~{}\[\]]+",
+    "lower": r"\p{Ll}+", "space": r"[\x20\x09-\x0D]+", "stop": r"[.,;:'()-]+", "upper": r"\p{Lu}+",
+    "symbol": r"[#*$%&|<>!?@=_+/\\^~{}\[\]]+", "digit": r"[0-9]+",
 }
 COMMON_WORDS = 12
 MIN_CHARACTERS, MIN_COMMON = 200, 60
@@ -34,13 +34,14 @@ def _words(text: Column) -> Column:
 
 
 def _with_classes(rows: DataFrame, text: str) -> DataFrame:
-    """rows with __classes_of: counts of the characters of a text column by class; each class is counted once."""
+    """rows with __classes_of: counts of the characters of a text column by class, each taken out of what those before it left."""
     names = [f"__class_{c}" for c in CLASSES]
-    rows = rows.withColumns({n: F.length(F.regexp_replace(text, c, "")).cast("long") for n, c in zip(names, CLASSES.values())})
-    rest = F.length(text).cast("long")
-    for n in names:
-        rest = rest - F.col(n)
-    return rows.withColumn("__class_rest", rest).withColumn("__classes_of", F.array(*names, "__class_rest")).drop(*names, "__class_rest")
+    # invalid bytes become U+FFFD, as in the texts that regexp_replace returns, so that lengths can be subtracted
+    rows = rows.withColumn("__left", F.make_valid_utf8(F.col(text)))
+    for n, c in zip(names, CLASSES.values()):
+        rows = rows.withColumn("__next", F.regexp_replace("__left", c, ""))
+        rows = rows.withColumn(n, (F.length("__left") - F.length("__next")).cast("long")).drop("__left").withColumnRenamed("__next", "__left")
+    return rows.withColumn("__classes_of", F.array(*names, F.length("__left").cast("long"))).drop(*names, "__left")
 
 
 def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
