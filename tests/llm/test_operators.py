@@ -1,5 +1,6 @@
 import collections
 import itertools
+import math
 import random
 import sys
 import unicodedata
@@ -277,6 +278,41 @@ def test_divergence_of_replaced_letters(spark):
     assert [r["__classes_of"] for r in divergence._with_classes(broken, "t").collect()] == [[2, 0, 0, 0, 0, 0, 2]]
 
 
+def test_divergence_of_common_words(spark):
+    rng = random.Random(6)
+
+    def vocabulary(letters):
+        words = list(dict.fromkeys("".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(1500)))
+        return words, [1 / (i + 3) for i in range(len(words))]
+
+    def text(words, n):
+        return " ".join(w.upper() if rng.random() < 0.1 else w for w in rng.choices(*words, k=n))
+
+    en, de = vocabulary("abcdefghijklm"), vocabulary("jklmnopqrstuvwxyz")
+    rows = [(i, text(en, rng.randint(60, 300)), "en") for i in range(60)] + [(100 + i, text(de, rng.randint(60, 300)), "de") for i in range(60)]
+    random_letters = " ".join("".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(2, 9))) for _ in range(200))
+    bad = [(200, text(de, 200), "en"), (201, text(en, 200), "de"), (202, random_letters, "en"), (203, " ".join([f"{en[0][0]} {w}" for w in en[0][:200]]), "en")]
+    got = {r["doc_id"]: r for r in divergence.judged(spark.createDataFrame(rows + bad, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i]["kept"] for i, *_ in rows)
+    for i in (200, 201, 202):
+        assert got[i]["word_distance"] > divergence.MAX_WORD_DISTANCE and not got[i]["kept"]
+    for lang in ("en", "de"):
+        counts = collections.Counter(w for _, t, l in rows + bad if l == lang for w in t.lower().split())
+        top = sorted(counts, key=lambda w: (-counts[w], w))[: divergence.COMMON_WORDS]
+        bins = dict(zip(top, divergence.RANKS))
+
+        def shares(words):
+            n = collections.Counter(bins.get(w, "") for w in words)
+            return [n[b] / n.total() for b in [*divergence.BINS, ""]]
+
+        q = shares(counts.elements())
+        for i, t, l in rows + bad:
+            if l == lang:
+                p = shares(t.lower().split())
+                js = sum((x and x * math.log2(2 * x / (x + y))) + (y and y * math.log2(2 * y / (x + y))) for x, y in zip(p, q)) / 2
+                assert got[i]["word_distance"] == pytest.approx(math.sqrt(js), abs=1e-6)
+
+
 @pytest.mark.parametrize("limit", [winnowing.BROADCAST_WORDS, 0])
 def test_decontamination(spark, df, docs, empty, limit):
     rng = random.Random(8)

@@ -4,6 +4,11 @@ The references are the character classes and the most common words of all texts
 language, counted over the whole table. A text is rejected if the Jensen-Shannon distance
 of its character classes, or of its common words, from the reference exceeds a limit;
 texts too short for a histogram to mean anything are only judged by the base rules.
+
+The few most common words have a bin each. The hundreds after them share bins by rank,
+each for as many words as all before it: a short text holds only some of these words, and
+with a bin for each would be as far from its own language as from any other. All other
+words are the last bin. The limit is below the distance of a text with no common word.
 Built-in functions alone; the table is read once for the references and once for the
 verdicts, and only counts are shuffled.
 """
@@ -22,11 +27,14 @@ CLASSES = {
     "lower": r"\p{Ll}+", "space": r"[\x20\x09-\x0D]+", "stop": r"[.,;:'()-]+", "upper": r"\p{Lu}+",
     "symbol": r"[#*$%&|<>!?@=_+/\\^~{}\[\]]+", "digit": r"[0-9]+",
 }
-COMMON_WORDS = 12
+#: For each common word by rank, the letter of its bin.
+RANKS = "abcdefghijkl" + "m" * 12 + "n" * 24 + "o" * 48 + "p" * 96 + "q" * 192
+COMMON_WORDS, BINS = len(RANKS), sorted(set(RANKS))
+SLOTS = 512  # of the hash table in which a language's common words are looked up
 MIN_CHARACTERS, MIN_COMMON = 200, 60
-MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.22, 0.5
+MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.22, 0.4
 MIN_REFERENCE = 2000  # words a language needs, else its texts are only judged by the base rules
-MAX_LANGUAGES = 10_000  # broadcast up to so many references
+MAX_LANGUAGES = 1000  # broadcast up to so many references, of about 40 kB each
 
 
 def _words(text: Column) -> Column:
@@ -45,7 +53,7 @@ def _with_classes(rows: DataFrame, text: str) -> DataFrame:
 
 
 def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, classes, top, common) for each language: counts by class, its most common words, their counts and that of all others.
+    """(lang, classes, top, common) for each language: counts by class, its most common words, their counts by bin and that of all others.
 
     Null is a language of its own.
     """
@@ -62,21 +70,32 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     tops = best.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("r", "w", "n"))).alias("t"))
     tops, total = tops.withColumnRenamed("lang", "l1"), total.withColumnRenamed("lang", "l2")
     out = sums.join(tops, F.col("lang").eqNullSafe(F.col("l1")), "left").join(total, F.col("lang").eqNullSafe(F.col("l2")), "left")
-    top_n = F.transform("t", lambda x: x["n"])
+    top_n = F.array(*(_total(F.transform(F.slice("t", RANKS.index(b) + 1, RANKS.count(b)), lambda x: x["n"])) for b in BINS))
     return out.select(
         "lang", "classes", F.transform("t", lambda x: x["w"]).alias("top"),
-        F.concat(top_n, F.array(F.col("total") - F.aggregate(top_n, F.lit(0).cast("long"), lambda a, x: a + x))).alias("common"),
+        F.concat(top_n, F.array(F.col("total") - _total(top_n))).alias("common"),
         F.coalesce("total", F.lit(0)).alias("total"),
     )
 
 
-def _total(counts: str) -> Column:
-    return F.greatest(F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(1).cast("long"))
+def _total(counts: Column) -> Column:
+    return F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def _slots(top: str) -> Column:
+    """For common words by rank, an array of SLOTS: by a word's _slot, a map of words to the letters of their bins, or null."""
+    words = F.transform(top, lambda w, i: F.struct(w.alias("w"), F.substring(F.lit(RANKS), i + 1, F.lit(1)).alias("bin")))
+    slots = F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda s: F.filter(words, lambda x: _slot(x["w"]) == s))
+    return F.transform(slots, lambda x: F.when(F.size(x) > 0, F.map_from_entries(x)))
+
+
+def _slot(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(SLOTS)).cast("int")
 
 
 def _with_shares(rows: DataFrame, counts: str, out: str) -> DataFrame:
     """rows with counts as shares of their sum, which is a column of its own so that it is summed once."""
-    rows = rows.withColumn("__total", _total(counts))
+    rows = rows.withColumn("__total", F.greatest(_total(F.col(counts)), F.lit(1).cast("long")))
     return rows.withColumn(out, F.transform(counts, lambda x: x / F.col("__total"))).drop("__total")
 
 
@@ -137,19 +156,19 @@ def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> D
     """
     refs = references(docs, text_col, lang_col).filter(F.col("total") >= MIN_REFERENCE).drop("total")
     refs = _with_shares(_with_shares(refs, "classes", "__classes"), "common", "__common")
-    longest = F.array_max(F.transform("top", lambda w: F.octet_length(w)))
-    refs = refs.select(F.col("lang").alias("__lang"), "__classes", F.col("top").alias("__top"), longest.alias("__longest"), "__common")
+    refs = refs.select(F.col("lang").alias("__lang"), "__classes", _slots("top").alias("__slots"), "__common")
     refs = saved(refs)
     if len(refs.select("__lang").take(MAX_LANGUAGES + 1)) <= MAX_LANGUAGES:
         refs = F.broadcast(refs)
     rows = base_counts(docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit(""))))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed).join(refs, F.col(lang_col).eqNullSafe(F.col("__lang")), "left")
-    # few words are as short as the common ones, so length is tested first
-    rows = rows.withColumn("__low", F.when(F.col("__top").isNotNull(), F.transform(F.filter("__words", lambda w: F.octet_length(w) <= F.col("__longest")), lambda w: F.lower(w)))).drop("__words")
-    rows = rows.withColumn("__low", F.filter("__low", lambda w: F.array_contains(F.col("__top"), w)))
-    mine = F.transform("__top", lambda t: F.size(F.filter("__low", lambda w: w == t)).cast("long"))
-    rows = rows.withColumn("__mine", F.concat(mine, F.array(F.col("n_words") - F.size("__low")))).drop("__low")
+    # a text's common words as the letters of their bins, other words as none
+    found = F.transform(F.transform("__words", lambda w: F.lower(w)), lambda w: F.try_element_at(F.get("__slots", _slot(w)), w))
+    rows = rows.withColumn("__bins", F.when(F.col("__slots").isNotNull(), F.array_join(found, ""))).drop("__words", "__slots")
+    mine = [F.octet_length("__bins") - F.octet_length(F.replace("__bins", F.lit(b), F.lit(""))) for b in BINS]
+    mine = F.array(*(n.cast("long") for n in mine), F.col("n_words") - F.octet_length("__bins"))
+    rows = rows.withColumn("__mine", F.when(F.col("__bins").isNotNull(), mine)).drop("__bins")
     rows = _with_shares(rows, "__mine", "__mine")
     rows = _with_shares(_with_classes(rows, "__text"), "__classes_of", "__classes_of")
     long_enough = F.col("__classes").isNotNull() & (F.length("__text") >= MIN_CHARACTERS)
@@ -158,4 +177,4 @@ def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> D
         "word_distance": F.when(F.col("__mine").isNotNull() & (F.col("n_words") >= MIN_COMMON), js_distance(F.col("__mine"), F.col("__common"))),
     })
     diverges = (F.coalesce("class_distance", F.lit(0.0)) > MAX_CLASS_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE)
-    return rows.withColumn("kept", ~F.col("base_failed") & ~diverges).drop("__text", "__mine", "__classes_of", "__lang", "__classes", "__top", "__longest", "__common")
+    return rows.withColumn("kept", ~F.col("base_failed") & ~diverges).drop("__text", "__mine", "__classes_of", "__lang", "__classes", "__common")
