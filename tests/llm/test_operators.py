@@ -158,6 +158,22 @@ def test_token_files(spark, df, docs, empty, tmp_path):
     assert len(expansion) == len(left) and not (left == 1).any() and not (right == 1).any()
 
 
+def test_token_compression_of_production():
+    rng = np.random.default_rng(5)
+    end, first, least = 1, 50_000, token_files.LEAST_COUNT
+    passage = rng.integers(5, first, 300)
+    copies = np.tile(np.append(passage, end), 2000)
+    run = np.append(np.full(100_000, 7), end)
+    # more kinds of frequent pairs than slots of the hash table
+    crowded = np.concatenate([np.tile(np.append(rng.permutation(np.arange(5, 205)), end), 10) for _ in range(20)])
+    for data, shrinks in ((copies, 100), (run, 1000), (crowded, 1.5), (rng.integers(5, 9, 20_000), 1.5), (np.zeros(0), 0), (np.array([9]), 0)):
+        symbols, left, right, expansion = token_files.compress(data.astype(np.uint32), end, first)
+        assert (token_files.expand(symbols, left, right, first) == data).all() and len(symbols) * shrinks <= len(data)
+        assert [len(token_files.expand(np.array([first + i]), left, right, first)) for i in range(len(left))] == expansion.tolist()
+        pairs = collections.Counter((a, b) for a, b in zip(symbols.tolist(), symbols[1:].tolist()) if end not in (a, b))
+        assert max(pairs.values(), default=0) < least
+
+
 def test_suffix_dedup(df, docs, empty):
     want = plain.op5([(r[0], r[1]) for r in dict.fromkeys((d[0], d[1]) for d in docs if d[0] is not None)])
     got = suffix_blocks.dedup_bytes(df, keep_text=False).collect()

@@ -3,7 +3,8 @@
 Documents are dealt to shards by ranges of their ids, in ascending order. A shard is a
 run of blocks of about BLOCK_TOKENS ids. In each block, frequent pairs of neighbouring
 ids are repeatedly replaced by nonterminals (as many pairs at a time as don't touch, so
-that a round is a few array operations). A block's row holds
+that a round is a few array operations) until no pair occurs LEAST_COUNT times. A block's
+row holds
 
     shard, block, local_start   its place; ids of the shard before it
     n_tokens, width             ids in the block; bytes of a stored symbol (2 or 4)
@@ -32,7 +33,6 @@ from pyspark.sql import functions as F
 from .common import scratch
 
 BLOCK_TOKENS = 1 << 20
-ROUNDS = 2
 RULES_A_ROUND = 8192
 LEAST_COUNT = 8
 REMEMBERED = 1 << 20
@@ -108,44 +108,61 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def compress(ids: np.ndarray, end_id: int, first_rule: int, rounds: int = ROUNDS, per_round: int = RULES_A_ROUND, least: int = LEAST_COUNT):
-    """(symbols, left, right, expansion) of ids (uint32) by Re-Pair; rule i is the symbol first_rule + i."""
+def compress(ids: np.ndarray, end_id: int, first_rule: int, rounds: int | None = None, per_round: int = RULES_A_ROUND, least: int = LEAST_COUNT):
+    """(symbols, left, right, expansion) of ids (uint32) by Re-Pair; rule i is the symbol first_rule + i.
+
+    Without a limit of rounds, no pair is left that occurs `least` times, end ids aside.
+    """
     seq = ids.astype(np.uint32)
     left, right = np.zeros(0, np.uint32), np.zeros(0, np.uint32)
-    bits = max(10, min(22, int(len(seq)).bit_length()))
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        # pairs are counted by slots of a hash table; a slot stands for the pair last seen in it
-        code = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
-        slot = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int32)
-        free = seq != end_id
-        free = free[:-1] & free[1:]
-        pair = np.zeros(1 << bits, np.uint64)
-        pair[slot[free]] = code[free]
-        count = np.bincount(slot[free], minlength=1 << bits)
+    bits = max(10, min(20, int(len(seq)).bit_length()))
+    done, stuck = 0, False
+    while len(seq) > 1 and (rounds is None or done < rounds):
+        done += 1
+        # pairs are counted by slots of a hash table; only frequent slots can hold frequent pairs
+        slot = seq[:-1] * np.uint32(0x9E3779B1)
+        slot += seq[1:] * np.uint32(0x85EBCA77)
+        slot = (slot >> np.uint32(32 - bits)).astype(np.int64)
+        ends = np.flatnonzero(seq == end_id)
+        slot[ends[ends < len(slot)]] = slot[ends[ends > 0] - 1] = 1 << bits
+        count = np.bincount(slot, minlength=(1 << bits) + 1)
+        count[-1] = 0
+        near = np.flatnonzero((count >= least)[slot])
+        code = seq[near].astype(np.uint64) << np.uint64(32) | seq[near + 1]
+        exact = stuck or len(near) <= len(seq) // 4
+        if exact:  # a slot for each pair
+            pair, slot, count = np.unique(code, return_inverse=True, return_counts=True)
+        else:  # a slot stands for the pair last seen in it
+            slot = slot[near]
+            pair = np.zeros(1 << bits, np.uint64)
+            pair[slot] = code
         many = np.flatnonzero(count >= least)
         if len(many) > per_round:
             many = many[np.argpartition(-count[many], per_round - 1)[:per_round]]
-        chosen = np.zeros(1 << bits, bool)
+        chosen = np.zeros(len(pair), bool)
         chosen[many] = True
-        at = np.flatnonzero(chosen[slot] & free)
-        at = at[pair[slot[at]] == code[at]]
+        taken = chosen[slot] & (pair[slot] == code)
+        at, slot = near[taken], slot[taken]
         # of pairs that overlap in a row, every other one is replaced, from the left
         start = np.ones(len(at), bool)
         start[1:] = np.diff(at) != 1
         begin = np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))
-        at = at[(np.arange(len(at)) - begin) % 2 == 0]
-        count = np.bincount(slot[at], minlength=1 << bits)
-        at = at[count[slot[at]] >= 3]  # a rule used less often costs more than it saves
+        other = (np.arange(len(at)) - begin) % 2 == 0
+        at, slot = at[other], slot[other]
+        count = np.bincount(slot, minlength=len(pair))
+        worth = count[slot] >= 3  # a rule used less often costs more than it saves
+        at, slot = at[worth], slot[worth]
         if not len(at):
-            break
-        used = np.unique(slot[at])
-        name = np.zeros(1 << bits, np.uint32)
+            if exact:
+                break
+            stuck = True  # frequent pairs may have lost their slots to others
+            continue
+        used = np.flatnonzero(count >= 3)
+        name = np.zeros(len(pair), np.uint32)
         name[used] = first_rule + len(left) + np.arange(len(used))
         left = np.concatenate((left, (pair[used] >> np.uint64(32)).astype(np.uint32)))
         right = np.concatenate((right, (pair[used] & np.uint64(0xFFFFFFFF)).astype(np.uint32)))
-        seq[at] = name[slot[at]]
+        seq[at] = name[slot]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq = seq[keep]
@@ -167,6 +184,22 @@ def expansions(left: np.ndarray, right: np.ndarray, first_rule: int) -> np.ndarr
 def expand(symbols: np.ndarray, left: np.ndarray, right: np.ndarray, first_rule: int) -> np.ndarray:
     """The ids that symbols stand for."""
     seq = symbols.astype(np.uint32)
+    if len(seq) > 2 * len(left) > 0:  # each rule is expanded once, then copied to its places
+        size = expansions(left, right, first_rule).astype(np.int64)
+        flat = _expand(np.arange(first_rule, first_rule + len(left), dtype=np.uint32), left, right, first_rule)
+        rule = np.flatnonzero(seq >= first_rule)
+        which = seq[rule] - first_rule
+        n = np.ones(len(seq), np.int64)
+        n[rule] = size[which]
+        out = np.repeat(seq, n)
+        n = size[which]
+        first = np.cumsum(n) - n
+        out[out >= first_rule] = flat[np.repeat((np.cumsum(size) - size)[which] - first, n) + np.arange(int(n.sum()))]
+        return out
+    return _expand(seq, left, right, first_rule)
+
+
+def _expand(seq: np.ndarray, left: np.ndarray, right: np.ndarray, first_rule: int) -> np.ndarray:
     while True:
         rule = seq >= first_rule
         if not len(left) or not rule.any():
@@ -181,7 +214,7 @@ def expand(symbols: np.ndarray, left: np.ndarray, right: np.ndarray, first_rule:
         seq = out
 
 
-def _blocks(path: str, end_id: int, first_rule: int, block_tokens: int, rounds: int):
+def _blocks(path: str, end_id: int, first_rule: int, block_tokens: int, rounds: int | None):
     """For mapInArrow over (id, text), sorted: the blocks of a shard."""
 
     def run(batches: Iterator) -> Iterator:
@@ -233,7 +266,7 @@ def _blocks(path: str, end_id: int, first_rule: int, block_tokens: int, rounds:
 
 def write_tokens(
     docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text",
-    block_tokens: int = BLOCK_TOKENS, rounds: int = ROUNDS,
+    block_tokens: int = BLOCK_TOKENS, rounds: int | None = None,
 ) -> None:
     """Write the ids of docs, by ascending id, to files under path.
 
