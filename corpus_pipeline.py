@@ -30,8 +30,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't contaminated by the benchmark."""
     ship(spark)
-    marked = winnowing.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return marked.filter(~F.col("contaminated")).select(*docs.columns)
+    return winnowing.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
