@@ -347,6 +347,31 @@ def test_decontamination(spark, df, docs, empty, limit):
     assert not any(r["n_hit"] for r in winnowing.decontaminate(df, bench.limit(0)).collect())
 
 
+@pytest.mark.parametrize("limit", [winnowing.BROADCAST_WORDS, 0])
+def test_decontamination_of_short_items_and_long_texts(spark, limit):
+    rng = random.Random(5)
+    pool = [f"w{i}" for i in range(400)]
+    passage = [rng.choice(pool) for _ in range(60)]
+    items = [(i, " ".join(passage[i : i + 1 + i % 14])) for i in range(30)]  # items of 1 to 14 words that share windows
+    items += [(100 + i, " ".join(passage[:30])) for i in range(20)]  # many items of one text
+    items += [(200 + i, " ".join(["common"] * n)) for i, n in enumerate((13, 15, 40))]
+    docs = []
+    for i in range(40):
+        w = [rng.choice(pool) for _ in range(rng.randrange(80))]
+        a = rng.randrange(55)
+        w[len(w) // 2 : len(w) // 2] = passage[a : a + rng.randrange(20)]
+        docs.append((i, " ".join(w)))
+    docs += [(50, " ".join(["common"] * 30)), (51, " ".join(["common"] * 12)), (52, " ".join(rng.choice(pool) for _ in range(40_000)) + " " + " ".join(passage[:30])), (53, " ".join(passage[:30]))]
+    docs += [(53, " ".join(passage[:30])), (53, "another text of this id")]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = winnowing.decontaminate(frame, bench, broadcast_words=limit).select("doc_id", "n_words", "n_hit", F.size("items"), F.sha2(F.array_join("items", ","), 256), "contaminated").collect()
+    want = plain.op9(docs, items)
+    assert sorted(map(tuple, got)) == sorted(want)
+    for few in (winnowing.BROADCAST_FOUND, 0):
+        kept = winnowing.keep_clean(frame.withColumn("items", F.lit(1)), bench, broadcast_words=limit, broadcast_found=few)
+        assert kept.columns == ["doc_id", "text", "items"] and sorted(r[0] for r in kept.collect()) == sorted(r[0] for r in want if not r[5])
+
+
 def test_token_counts(df, docs, empty):
     from tokenizers import Tokenizer
 

@@ -118,7 +118,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
         met = met.select("id", "mark", start.alias("a"), n.alias("t")).groupBy("id", "mark").agg(F.collect_set(F.struct("a", "t")).alias("places"))
         met = met.withColumnsRenamed({"id": "__id", "mark": "__mark"})
         found = rows.dropDuplicates(["id", "mark"]).join(met, rows["id"].eqNullSafe(met["__id"]) & (rows["mark"] == met["__mark"]), "left")
-        found = found.select("id", "mark", "n_words", "w", F.explode_outer("places").alias("x"))
+        found = found.select("id", "mark", "n_words", "w", F.explode_outer(F.concat("places", F.array(F.lit(None).cast("struct<a:int,t:int>")))).alias("x"))
         found = found.select("id", "mark", "n_words", "x.a", "x.t", F.when(F.col("x").isNotNull(), _window("w", F.col("x.a"), F.col("x.t"))).alias("window"))
     named = windows.select(F.col("window").alias("__window"), "set")
     found = found.join(hint(named), F.col("window") == F.col("__window"), "left").filter("set is not null or window is null")
