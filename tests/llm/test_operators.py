@@ -138,7 +138,7 @@ def test_token_files(spark, df, docs, empty, tmp_path):
     library = Tokenizer.from_file(path)
     rows = sorted(docs, key=lambda r: (r[0] is not None, r[0] or 0))
     out = str(tmp_path / "t")
-    token_files.write_tokens(df, out, path, block_tokens=500)
+    token_files.write_tokens(df, out, path, shard_tokens=500)
     got = sorted(token_files.read_documents(spark, out).collect(), key=lambda r: r["start"])
     assert [r["doc_id"] for r in got] == [r[0] for r in rows]
     ids, by_id, at = [], collections.defaultdict(list), 0
@@ -174,6 +174,24 @@ def test_token_compression_of_production():
         assert max(pairs.values(), default=0) < least
 
 
+def test_encoder_forgets_and_knows_again(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    rng = random.Random(7)
+    words = ["don't", "x1", "Été", "a<|endoftext|>b", "<|startoftext|>", "ab.cd", "\u0130x", "e\u0301a", "\u3000z\u3000", "é", "''s", "\x1cq", "_a-b"] + ["".join(rng.choice("abcdeEé.1'") for _ in range(rng.randint(1, 9))) for _ in range(300)]
+    monkeypatch.setattr(token_files, "REMEMBERED", 50)
+    one = token_files.Encoder(path)
+    assert one.letters is not None
+    for _ in range(6):
+        texts = ["".join(rng.choice(words) + rng.choice([" ", "\n", "\t ", "  "]) for _ in range(rng.randrange(40))) for _ in range(30)] + [None, "", " "]
+        ids, counts = one.encode(pa.array(texts))
+        want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
 def test_suffix_dedup(df, docs, empty):
     want = plain.op5([(r[0], r[1]) for r in dict.fromkeys((d[0], d[1]) for d in docs if d[0] is not None)])
     got = suffix_blocks.dedup_bytes(df, keep_text=False).collect()
