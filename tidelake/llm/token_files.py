@@ -37,7 +37,7 @@ SHARD_TOKENS = 1 << 20
 DOCS_A_PART = 100_000  # beyond spark.sql.shuffle.partitions times as many documents, there are more parts
 RULES_A_ROUND = 8192
 LEAST_COUNT = 8
-REMEMBERED, REMEMBERED_BYTES = 1 << 19, 1 << 26  # parts of texts, and bytes of these and their ids, after which half of what a worker remembers goes
+REMEMBERED, REMEMBERED_BYTES = 1 << 18, 1 << 25  # parts of texts, and bytes of these and their ids, after which half of what a worker remembers goes
 
 SHARD_SCHEMA = (
     "part int, shard int, local_start long, n_tokens long, width int, first_rule long, "
