@@ -232,22 +232,37 @@ def test_line_dedup(spark, empty):
     assert line_edit.dedup_lines(empty).collect() == []
 
 
-def test_line_links_lose_nothing(spark):
+def bound(a, b):
+    """The edits allowed between two lines."""
+    return next((e for e, least, most in line_edit.CLASSES if least <= min(len(a), len(b)) <= most), 0)
+
+
+def close(lines):
+    return {(a, b) for a in lines for b in lines if a != b and bound(a, b) and plain.lev(a, b, bound(a, b)) <= bound(a, b)}
+
+
+def found_links(spark, lines, **how):
+    frame = spark.createDataFrame([(x,) for x in lines], "line string")
+    names = {(r["h1"], r["h2"]): r["line"] for r in line_edit._named(frame).collect()}
+    got = [(names[r["h1"], r["h2"]], names[r["o1"], r["o2"]]) for r in line_edit.line_links(frame, **how).collect()]
+    assert len(got) == len(set(got))
+    return set(got)
+
+
+@pytest.mark.parametrize("how", [{}, {"hot": 1}, {"broadcast_keys": 0}])
+def test_line_links_lose_nothing(spark, how):
     rng = random.Random(4)
-    lines = set()
-    for _ in range(40):
-        base = "".join(rng.choice("abcé ") for _ in range(rng.randrange(16, 30)))
+    lines = []
+    for _ in range(60):
+        base = "".join(rng.choice("abcé ") for _ in range(rng.choice([7, 8, 9, 12, 15, 16, 17, 18, 20, 25, 29])))
         for _ in range(4):
             s = list(base)
             for _ in range(rng.randrange(4)):
                 k = rng.randrange(len(s))
                 s[k : k + rng.randrange(2)] = rng.choice(["", "z", "é"])
-            lines.add("".join(s))
-    long = [x for x in lines if len(x) >= line_edit.MIN_LENGTH]
-    want = {tuple(sorted((a, b))) for a in long for b in long if a < b and plain.lev(a, b, 2) <= 2}
-    for hot in (line_edit.HOT, 1):
-        got = line_edit.line_links(spark.createDataFrame([(x,) for x in lines], "line string"), hot=hot).collect()
-        assert {tuple(sorted((r["a"], r["b"]))) for r in got} == want and len(got) == len(want) > 50
+            lines.append("".join(s))
+    want = close(set(lines))
+    assert found_links(spark, lines, **how) == want and len(want) > 100 and {bound(a, b) for a, b in want} == {1, 2}
 
 
 def test_family_of_near_copies(spark):
@@ -259,9 +274,64 @@ def test_family_of_near_copies(spark):
             k = rng.randrange(len(s))
             s[k : k + rng.choice([0, 1, 1, 2, 5])] = rng.choice(["", "z", "é", "yz", "uvwxy"])
         lines.add("".join(s))
-    want = {tuple(sorted((a, b))) for a in lines for b in lines if a < b and plain.lev(a, b, 2) <= 2}
-    got = line_edit.line_links(spark.createDataFrame([(x,) for x in lines], "line string"), hot=2).collect()
-    assert {tuple(sorted((r["a"], r["b"]))) for r in got} == want and len(got) == len(want) > 50
+    want = close(lines)
+    assert found_links(spark, sorted(lines), hot=2) == want and len(want) > 100
+
+
+def test_bounded_distance(spark):
+    rng = random.Random(1)
+    rows = []
+    for _ in range(600):
+        a = "".join(rng.choice("abé𝐚") for _ in range(rng.randrange(3, 14)))
+        b = list(a)
+        for _ in range(rng.randrange(4)):
+            k = rng.randrange(len(b) + 1)
+            b[k : k + rng.randrange(2)] = rng.choice(["", "a", "b"])
+        rows.append((a, "".join(b)))
+    frame = spark.createDataFrame(rows, "x string, y string").select("x", "y", F.split("x", "").alias("a"), F.split("y", "").alias("b"), F.length("x").alias("__size_a"), F.length("y").alias("__size_b"))
+    for edits in (1, 2, 3):
+        near = frame.filter(F.abs(F.col("__size_a") - F.col("__size_b")) <= edits).filter("y != ''")
+        for r in near.select("x", "y", line_edit.bounded_distance("a", "b", F.col("__size_a"), F.col("__size_b"), edits).alias("d")).collect():
+            d = plain.lev(r["x"], r["y"], 20)
+            assert r["d"] == d if d <= edits else r["d"] > edits
+
+
+def test_line_dedup_matches_brute_force(spark):
+    rng = random.Random(12)
+    pool = ["".join(rng.choice("abcd ") for _ in range(rng.randrange(3, 24))) for _ in range(25)]
+    rows = []
+    for i in range(40):
+        lines = []
+        for _ in range(rng.randrange(12)):
+            s = list(rng.choice(pool + [" ", ""]))
+            if s and rng.random() < 0.4:
+                s[rng.randrange(len(s))] = rng.choice("abcdx")
+            lines.append("".join(s))
+        rows.append((i if i % 9 else None, "\n".join(lines)))
+    rows += [(100, "x y z same\nsame line again and again\nsame line again and again"), (100, "same line again and again\nother")]  # one id, two texts
+    rows += [rows[3], rows[3]]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = {r[0]: r[1] & (1 << 30) - 1 for r in frame.select("text", F.xxhash64("text")).distinct().collect()}
+    places = sorted({(i is not None, i or 0, marks[t], k, t, x) for i, t in rows for k, x in enumerate(t.split("\n")) if x.strip()})
+    want = {}
+    distinct = {x for *_, x in places}
+    linked = collections.Counter(a for a, _ in close(distinct))
+    seen = []
+    for some, i, _, k, t, x in places:
+        copy = any(x == y or (bound(x, y) and plain.lev(x, y, bound(x, y)) <= bound(x, y)) for y in seen)
+        seen.append(x)
+        w = want.setdefault((i if some else None, t), [0, 0, 0, t.split("\n")])
+        w[0], w[1], w[2] = w[0] + 1, w[1] + copy, w[2] + linked[x]
+        if copy:
+            w[3][k] = None
+    for how in ({}, {"hot": 1, "broadcast_keys": 0}):
+        got = line_edit.dedup_lines(frame.withColumn("line", F.lit(1)).withColumn("size", F.lit("s")), **how).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            n, removed, links, kept = want.get((r["doc_id"], r["text"]), [0, 0, 0, r["text"].split("\n")])
+            assert (r["n_lines"], r["n_removed"], r["n_links"], r["kept_text"]) == (n, removed, links, "\n".join(x for x in kept if x is not None))
+    with pytest.raises(TypeError):
+        line_edit.dedup_lines(frame.withColumn("doc_id", F.lit("a")))
 
 
 def test_secrets(df, docs, empty):

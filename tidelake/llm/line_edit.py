@@ -1,14 +1,19 @@
 """Line dedup by a segment-partition edit join.
 
-A line is a copy if an earlier line (by document id, then place) lies within EDITS edits
-of it; earlier is judged on the input. Equal lines are collapsed first. Two different lines within t edits
-share one of the t + 1 segments of the shorter one: each distinct line is indexed by its
-segments (length, number, content), and probes, for each length up to t less than its
-own, the substrings that the multi-match-aware windows leave. Where many lines share a
-segment, as families of near copies do, they meet again under longer keys, all of the
-line but t segments of a finer partition. Candidates are verified by
-Spark's levenshtein with a threshold, which computes only a band of the table. Lines
-shorter than MIN_LENGTH match when equal. Built-in functions alone.
+A line is a copy if an earlier line (by document id, then place) lies within its edit
+bound; earlier is judged on the input. The bound follows from the shorter line of a pair:
+CLASSES gives the edits allowed from a length on, and lines shorter than all of these match
+when equal. Two different lines within t edits share one of the t + 1 segments of the
+shorter one: each line is indexed by its segments (length, number, content), and probes,
+for each length up to t less than its own, the substrings that the multi-match-aware
+windows leave.
+
+The keys of all lines are shuffled once, as bare numbers; only lines that share a key with
+another line go on with their text, each once. Where many of them share a segment, as
+families of near copies do, they meet again under longer keys, all of the line but t
+segments of a finer partition. Candidates are verified by a banded bit-parallel edit
+distance: the band of 2t + 1 rows around the diagonal is one word, and a character of the
+other line is a few shifts, sums and logical operations. Built-in functions alone.
 """
 
 from __future__ import annotations
@@ -20,13 +25,15 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
-EDITS, MIN_LENGTH = 2, 16
+#: (edits, least, most): edits allowed where the shorter line has so many code points.
+CLASSES = ((2, 16, 1 << 31), (1, 8, 15))
 HOT, FAN = 8, 4  # lines beyond which a key is crowded; segments that a damaged one is split into then
-BROADCAST_PAIRS = 100_000  # candidate pairs up to which the ids of their lines are broadcast, 8 bytes each
+BROADCAST_KEYS = 1_000_000  # shared keys up to which these are broadcast, 8 bytes each
+SPACE = " \t\n\x0b\f\r"
 
 
 def _key(size: Column, damaged: list, moves: list, parts: int) -> Column:
-    """Hash of a shorter line's size, its damaged segments (from 0) and the characters of all others.
+    """Hash of a shorter line's size, its damaged segments (from 0) of so many parts, and the characters of all others.
 
     Segment i starts at floor(size * i / parts). moves: by how much each damaged segment is
     longer in the line at hand, so that what follows lies further right.
@@ -40,7 +47,7 @@ def _key(size: Column, damaged: list, moves: list, parts: int) -> Column:
         if not (isinstance(d, int) and isinstance(at, int) and d == at):
             pieces.append(F.substring("line", bound(at) + shift + 1, bound(d) - bound(at)))
         at, shift = d + 1, shift + move
-    return F.xxhash64(size, *(F.lit(d) if isinstance(d, int) else d for d in damaged), *pieces)
+    return F.xxhash64(F.lit(parts), size, *(F.lit(d) if isinstance(d, int) else d for d in damaged), *pieces)
 
 
 def _runs(damaged: tuple[int, ...]) -> list[int]:
@@ -68,13 +75,18 @@ def _first_ways(edits: int, probing: bool) -> list[tuple[list[int], list[int]]]:
     return ways
 
 
-def _first_keys(rows: DataFrame, edits: int, least: int, probing: bool) -> DataFrame:
-    """(id, size of the shorter line, key, way) for each way of _first_ways."""
+def _first_entries(edits: int, least: int, most: int, probing: bool) -> list[Column]:
+    """(key, size of the shorter line, way) for each way of _first_ways; null where that size isn't of the class."""
     entries = []
     for number, (damaged, moves) in enumerate(_first_ways(edits, probing)):
         size = F.col("size") - sum(moves)
-        entries.append(F.when(size >= least, F.struct(_key(size, damaged, moves, edits + 1).alias("key"), size.alias("short"), F.lit(number).alias("way"))))
-    return rows.select("id", F.explode(F.array_compact(F.array(*entries))).alias("e")).select("id", "e.*")
+        entries.append(F.when(size.between(least, most), F.struct(_key(size, damaged, moves, edits + 1).alias("key"), size.alias("short"), F.lit(number).alias("way"))))
+    return entries
+
+
+def _first_keys(rows: DataFrame, edits: int, least: int, most: int, probing: bool) -> DataFrame:
+    """(id, key, short, way) of rows (id, line, size)."""
+    return rows.select("id", F.explode(F.array_compact(F.array(*_first_entries(edits, least, most, probing)))).alias("e")).select("id", "e.*")
 
 
 def _finer_keys(crowded: DataFrame, rows: DataFrame, edits: int, parts: int, probing: bool) -> DataFrame:
@@ -94,20 +106,24 @@ def _finer_keys(crowded: DataFrame, rows: DataFrame, edits: int, parts: int, pro
     return met.select("id", "short", key.alias("key"), "damaged", "less").distinct()
 
 
-def _candidates(rows: DataFrame, edits: int, least: int, hot: int) -> DataFrame:
+def _candidates(rows: DataFrame, edits: int, least: int, most: int, hot: int) -> DataFrame:
     """(a, b): ids of lines that share a key, repeats included.
 
     A key that more than `hot` lines are indexed under is not joined: its lines meet again
     under longer keys, of more and smaller segments, until a segment would be empty. Keys
     that are crowded then leave a few characters open, so what they join are mostly links.
+    Of lines of one size, only the one of smaller id needs to probe.
     """
     parts, found = edits + 1, None
-    index, probes = (_first_keys(rows, edits, least, probing) for probing in (False, True))
+    index, probes = (_first_keys(rows, edits, least, most, probing) for probing in (False, True))
+    probes = probes.withColumn("less", F.get(F.lit([sum(w[1]) for w in _first_ways(edits, True)]), F.col("way")))
     while True:
         crowded = index.groupBy("key").agg(F.count("*").alias("n"), F.min("short").alias("short"))
         crowded = saved(crowded.filter((F.col("n") > hot) & (F.col("short") >= parts * FAN)).select("key"))
-        pairs = probes.select("key", F.col("id").alias("a")).join(index.join(crowded, "key", "left_anti").select("key", F.col("id").alias("b")), "key")
-        pairs = pairs.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        p = probes.select("key", F.col("id").alias("a"), "less").alias("p")
+        i = index.join(crowded, "key", "left_anti").select("key", F.col("id").alias("b")).alias("i")
+        pairs = p.join(i, (F.col("p.key") == F.col("i.key")) & (F.col("a") != F.col("b")) & ((F.col("less") > 0) | (F.col("a") < F.col("b"))))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         found = pairs if found is None else found.unionByName(pairs)
         if crowded.isEmpty():
             return found
@@ -116,7 +132,7 @@ def _candidates(rows: DataFrame, edits: int, least: int, hot: int) -> DataFrame:
             again = []
             for probing in (False, True):
                 ways = _first_ways(edits, probing)
-                entry = _first_keys(rows, edits, least, probing).join(crowded, "key", "left_semi")
+                entry = _first_keys(rows, edits, least, most, probing).join(crowded, "key", "left_semi")
                 again.append(entry.select("id", "short", F.get(F.lit([w[0] for w in ways]), F.col("way")).alias("damaged"), F.get(F.lit([sum(w[1]) for w in ways]), F.col("way")).alias("less")))
         else:
             again = [entry.join(crowded, "key", "left_semi").drop("key") for entry in (index, probes)]
@@ -124,58 +140,130 @@ def _candidates(rows: DataFrame, edits: int, least: int, hot: int) -> DataFrame:
         index, probes = (saved(_finer_keys(entry.distinct(), rows, edits, parts, probing)) for entry, probing in zip(again, (False, True)))
 
 
-def line_links(lines: DataFrame, edits: int = EDITS, least: int = MIN_LENGTH, texts: DataFrame | None = None, hot: int = HOT) -> DataFrame:
-    """(a, b): distinct pairs of different lines (column line, distinct) within so many edits; both of least code points or more."""
-    rows = lines.select("line", F.length("line").alias("size"), F.xxhash64("line").alias("id")).filter(F.col("size") >= least)
-    pairs = saved(_candidates(rows, edits, least, hot).distinct())
-    text = rows.select("id", "line")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    if pairs.count() <= BROADCAST_PAIRS:  # then only the texts of candidates are shuffled
-        source = (lines if texts is None else texts).select("line", F.xxhash64("line").alias("id"))
-        text = source.join(F.broadcast(wanted), "id", "left_semi").distinct().filter(F.length("line") >= least).select("id", "line")
-    pairs = pairs.join(text.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a").join(text.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b")
-    close = F.levenshtein("line_a", "line_b", edits)
-    return pairs.filter((close >= 0) & (close <= edits)).select(F.col("line_a").alias("a"), F.col("line_b").alias("b"))
+def bounded_distance(a: str, b: str, size_a: Column, size_b: Column, edits: int) -> Column:
+    """The edit distance of two arrays of characters, whose sizes differ by `edits` at most; above `edits` it may be any larger number.
+
+    Bit k of a word is row j - edits + k of the distance table's column j. Until the last row comes into the
+    band its lowest row is followed down the diagonal, then the last row to the right.
+    """
+    width, full = 2 * edits + 1, (1 << (2 * edits + 1)) - 1
+    start = F.struct(F.lit(1).alias("j"), F.lit(((1 << (edits + 1)) - 1) << edits).alias("vp"), F.lit(0).alias("vn"), F.lit(edits).alias("d"))
+
+    def bit(test: Column, k: int) -> Column:
+        return F.when(test, F.lit(1 << k)).otherwise(F.lit(0))
+
+    def column(s: Column, c: Column) -> Column:
+        equal = [bit(F.get(F.col(a), s["j"] - edits + (k - 1)) == c, k) for k in range(width)]
+        x = equal[0]
+        for e in equal[1:]:
+            x = x.bitwiseOR(e)
+        return F.struct(s["j"].alias("j"), s["vp"].alias("vp"), s["vn"].alias("vn"), s["d"].alias("d"), x.alias("x"))
+
+    def zeros(s: Column) -> Column:  # d0: where the diagonal step costs nothing
+        d0 = (s["x"].bitwiseAND(s["vp"]) + s["vp"]).bitwiseXOR(s["vp"]).bitwiseOR(s["x"]).bitwiseOR(s["vn"]).bitwiseAND(F.lit(full))
+        return F.struct(s["j"].alias("j"), s["vp"].alias("vp"), s["vn"].alias("vn"), s["d"].alias("d"), d0.alias("d0"))
+
+    def flat(s: Column) -> Column:  # hp, hn: where a step to the right costs one more, or one less
+        hp = s["vn"].bitwiseOR(F.lit(full).bitwiseXOR(s["d0"].bitwiseOR(s["vp"])))
+        return F.struct(s["j"].alias("j"), s["d"].alias("d"), s["d0"].alias("d0"), hp.alias("hp"), s["d0"].bitwiseAND(s["vp"]).alias("hn"))
+
+    def after(s: Column) -> Column:
+        below = F.col("__size_a") - s["j"] + edits  # the bit of the last row
+        slope = F.when(below >= width - 1, F.when(s["d0"].bitwiseAND(F.lit(1 << (width - 1))) == 0, 1).otherwise(0)).otherwise(
+            F.getbit(s["hp"], below).cast("int") - F.getbit(s["hn"], below).cast("int")
+        )
+        down = F.shiftright(s["d0"], 1)
+        return F.struct((s["j"] + 1).alias("j"), s["hn"].bitwiseOR(F.lit(full).bitwiseXOR(down.bitwiseOR(s["hp"]))).alias("vp"), down.bitwiseAND(s["hp"]).alias("vn"), (s["d"] + slope).alias("d"))
 
+    # a step's values are used several times by the next; a one-element array names them
+    def then(values: Column, f) -> Column:
+        return F.transform(F.array(values), f)[0]
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = MIN_LENGTH) -> DataFrame:
+    step = lambda s, c: then(then(then(column(s, c), zeros), flat), after)
+    return F.aggregate(b, start, step, lambda s: s["d"])
+
+
+def verified(pairs: DataFrame, rows: DataFrame, edits: int) -> DataFrame:
+    """Those of pairs (a, b) whose lines in rows (id, line, size) lie within `edits` edits."""
+    chars = F.split("line", "")
+    one = rows.select(F.col("id").alias("a"), chars.alias("__a"), F.col("size").alias("__size_a"))
+    two = rows.select(F.col("id").alias("b"), chars.alias("__b"), F.col("size").alias("__size_b"))
+    met = pairs.join(one, "a").join(two, "b").filter(F.abs(F.col("__size_a") - F.col("__size_b")) <= edits)
+    return met.filter(bounded_distance("__a", "__b", F.col("__size_a"), F.col("__size_b"), edits) <= edits).select("a", "b")
+
+
+def _named(lines: DataFrame) -> DataFrame:
+    """lines with h1 and h2, 128 bits that stand for the line."""
+    return lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(7), "line")})
+
+
+def line_links(lines: DataFrame, hot: int = HOT, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+    """(h1, h2, o1, o2): each pair of different lines (column line, repeats allowed) within their bound, in both directions."""
+    sized = lines.select("line", F.length("line").alias("size")).filter(F.col("size") >= min(c[1] for c in CLASSES))
+    entries = [e["key"] for edits, least, most in CLASSES for e in _first_entries(edits, least, most, True)]
+    keyed = sized.select("line", F.array(*entries).alias("keys"))
+    # keys that two different lines have; a line that is repeated is summed up before the shuffle
+    bare = _named(keyed).select("h1", F.explode("keys").alias("key")).filter("key is not null")
+    shared = saved(bare.groupBy("key").agg(F.min("h1").alias("least"), F.max("h1").alias("most")).filter("least != most").select("key"))
+    if shared.count() <= broadcast_keys:
+        rows = keyed.select("line", F.explode("keys").alias("key")).join(F.broadcast(shared), "key", "left_semi").select("line").distinct()
+    else:  # names find their keys first, so that texts are shuffled without them
+        names = _named(keyed).select("h1", "h2", F.explode("keys").alias("key")).join(shared, "key", "left_semi").select("h1", "h2").distinct()
+        rows = _named(sized.select("line")).join(names, ["h1", "h2"], "left_semi").select("line").distinct()
+    rows = saved(_named(rows).select("line", F.length("line").alias("size"), F.concat_ws(":", "h1", "h2").alias("id"), "h1", "h2"))
+    links = None
+    for edits, least, most in CLASSES:
+        pairs = saved(_candidates(rows.select("id", "line", "size"), edits, least, most, hot).distinct())
+        found = verified(pairs, rows, edits)
+        links = found if links is None else links.unionByName(found)
+    links = saved(links.distinct())
+    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    half = lambda c, i: F.split_part(c, F.lit(":"), F.lit(i)).cast("long")
+    return ends.select(half(F.col("a"), 1).alias("h1"), half(F.col("a"), 2).alias("h2"), half(F.col("b"), 1).alias("o1"), half(F.col("b"), 2).alias("o2"))
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """docs with n_lines, n_removed, n_links and kept_text in place of columns of those names.
 
     Lines are separated by \\n. n_lines counts lines with a character other than white
     space; others stay and are no copies. n_links: for each of the lines, how many
-    different lines within `edits` edits the table has. Null text is as empty. Rows of one
-    id are one document; rows that agree in id and text are judged as one row, and each
-    gets its result. Null ids come before all others.
+    different lines within their bound the table has. Null text is as empty. Ids are
+    integers; other types are refused. Rows of one id follow each other by a hash of their
+    text; rows that agree in id and text are judged as one row, and each gets its result.
+    Null ids come before all others.
     """
+    kind = dict(docs.dtypes)[id_col]
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{id_col} is {kind}; line order needs an integer id")
     rows = docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit(""))).withColumn("__mark", F.xxhash64("__text"))
-    order = F.coalesce(F.col("id").cast("decimal(38,0)"), F.lit("-9223372036854775809").cast("decimal(38,0)")) * F.lit(1 << 32).cast("decimal(11,0)")
+    number = lambda c: c.cast("decimal(38,0)")
+    first = F.coalesce(number(F.col(id_col)), F.lit("-9223372036854775809").cast("decimal(38,0)"))
+    turn = number(F.col("__mark").bitwiseAND(F.lit((1 << 30) - 1)))
+    at = number(number(first * F.lit(1 << 30).cast("decimal(10,0)") + turn) * F.lit(1 << 31).cast("decimal(10,0)"))
     lines = (
-        rows.select(F.col(id_col).alias("id"), F.col("__mark").alias("mark"), F.posexplode_outer(F.split("__text", "\n")).alias("place", "line"))
-        .filter(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-        .select("id", "mark", "place", "line", (order.cast("decimal(38,0)") + F.col("place")).cast("decimal(38,0)").alias("at"))
+        rows.select(F.col(id_col).alias("id"), F.col("__mark").alias("mark"), at.alias("at"), F.posexplode(F.split("__text", "\n")).alias("place", "line"))
+        .filter(F.length(F.btrim("line", F.lit(SPACE))) > 0)
+        .withColumn("at", number(F.col("at") + F.col("place")))
     )
-    distinct = lines.select("line").distinct()
-    links = line_links(distinct, edits, least, lines)
-    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    name = lambda c: [F.xxhash64(c).alias("h1"), F.xxhash64(F.lit(7), c).alias("h2")]  # noqa: E731  128 bits stand for a line
-    firsts = lines.select(*name("line"), "at").groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count("*").alias("n"))  # without texts
-    other = ends.select(*name("a"), F.xxhash64("b").alias("o1"), F.xxhash64(F.lit(7), "b").alias("o2"))
-    other = other.join(firsts.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("first").alias("other_first")), ["o1", "o2"])
+    links = line_links(lines, hot, broadcast_keys)
+    lines = _named(lines).select("id", "mark", "place", "at", "h1", "h2")
+    firsts = lines.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count("*").alias("n"))  # without texts
+    other = links.join(firsts.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("first").alias("other_first")), ["o1", "o2"])
     linked = other.groupBy("h1", "h2").agg(F.min("other_first").alias("nearest"), F.count("*").alias("links"))
-    known = firsts.join(linked, ["h1", "h2"], "left").filter("n > 1 or links is not null")
-    seen = lines.select("id", "mark", "place", "at", *name("line")).join(known, ["h1", "h2"])
+    known = firsts.join(linked, ["h1", "h2"], "left").filter("n > 1 or links is not null").drop("n")
+    seen = lines.join(known, ["h1", "h2"])
     copy = (F.col("at") > F.col("first")) | (F.coalesce(F.col("nearest"), F.col("first")) < F.col("first"))
     own = seen.groupBy("id", "mark").agg(
         F.collect_set(F.when(copy, F.col("place"))).alias("__copies"),
         F.collect_set(F.when(F.col("links").isNotNull(), F.struct("place", "links"))).alias("__linked"),
     )
-    own = own.select(F.col("id").alias("__id"), F.col("mark").alias("__own"), F.array_sort("__copies").alias("__copies"), F.aggregate("__linked", F.lit(0).cast("long"), lambda a, x: a + x["links"]).alias("__links"))
+    own = own.select(F.col("id").alias("__id"), F.col("mark").alias("__own"), "__copies", F.aggregate("__linked", F.lit(0).cast("long"), lambda a, x: a + x["links"]).alias("__links"))
     out = rows.join(own, rows[id_col].eqNullSafe(own["__id"]) & (rows["__mark"] == own["__own"]), "left")
-    split = F.split("__text", "\n")
-    none = F.size(F.coalesce("__copies", F.array().cast("array<int>"))) == 0
-    kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("__copies"), i)), "\n")
+    out = out.withColumns({"__lines": F.split("__text", "\n"), "__copies": F.coalesce("__copies", F.array().cast("array<int>"))})
+    places = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__copies"))
+    kept = F.array_join(F.transform(places, lambda i: F.get("__lines", i)), "\n")
     return out.withColumns({
-        "n_lines": F.size(F.filter(split, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long"),
-        "n_removed": F.when(none, 0).otherwise(F.size("__copies")).cast("long"),
-        "n_links": F.coalesce("__links", F.lit(0)).cast("long"), "kept_text": F.when(none, F.col("__text")).otherwise(kept),
-    }).drop("__text", "__mark", "__id", "__own", "__copies", "__links")
+        "n_lines": F.size(F.filter("__lines", lambda x: F.length(F.btrim(x, F.lit(SPACE))) > 0)).cast("long"),
+        "n_removed": F.size("__copies").cast("long"), "n_links": F.coalesce("__links", F.lit(0)).cast("long"),
+        "kept_text": F.when(F.size("__copies") == 0, F.col("__text")).otherwise(kept),
+    }).drop("__text", "__mark", "__id", "__own", "__copies", "__links", "__lines")
