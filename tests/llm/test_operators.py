@@ -288,10 +288,10 @@ def test_bounded_distance(spark):
             k = rng.randrange(len(b) + 1)
             b[k : k + rng.randrange(2)] = rng.choice(["", "a", "b"])
         rows.append((a, "".join(b)))
-    frame = spark.createDataFrame(rows, "x string, y string").select("x", "y", F.split("x", "").alias("a"), F.split("y", "").alias("b"), F.length("x").alias("__size_a"), F.length("y").alias("__size_b"))
+    frame = spark.createDataFrame(rows, "x string, y string").select("x", "y", F.split("x", "").alias("a"), F.split("y", "").alias("b"), F.length("x").alias("__size_a"), F.length("y").alias("n"))
     for edits in (1, 2, 3):
-        near = frame.filter(F.abs(F.col("__size_a") - F.col("__size_b")) <= edits).filter("y != ''")
-        for r in near.select("x", "y", line_edit.bounded_distance("a", "b", F.col("__size_a"), F.col("__size_b"), edits).alias("d")).collect():
+        near = frame.filter((F.abs(F.col("__size_a") - F.col("n")) <= edits) & (F.least("__size_a", "n") >= edits))
+        for r in near.select("x", "y", line_edit.bounded_distance("a", "b", edits).alias("d")).collect():
             d = plain.lev(r["x"], r["y"], 20)
             assert r["d"] == d if d <= edits else r["d"] > edits
 

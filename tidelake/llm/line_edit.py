@@ -27,7 +27,7 @@ from .common import saved
 
 #: (edits, least, most): edits allowed where the shorter line has so many code points.
 CLASSES = ((2, 16, 1 << 31), (1, 8, 15))
-HOT, FAN = 8, 4  # lines beyond which a key is crowded; segments that a damaged one is split into then
+HOT, FAN = 8, 2  # lines beyond which a key is crowded; segments that a damaged one is split into then
 BROADCAST_KEYS = 1_000_000  # shared keys up to which these are broadcast, 8 bytes each
 SPACE = " \t\n\x0b\f\r"
 
@@ -45,7 +45,7 @@ def _key(size: Column, damaged: list, moves: list, parts: int) -> Column:
     pieces, at, shift = [], 0, 0
     for d, move in zip([*damaged, parts], [*moves, 0]):
         if not (isinstance(d, int) and isinstance(at, int) and d == at):
-            pieces.append(F.substring("line", bound(at) + shift + 1, bound(d) - bound(at)))
+            pieces.append(F.substring("wide", (bound(at) + shift) * 4 + 1, (bound(d) - bound(at)) * 4))
         at, shift = d + 1, shift + move
     return F.xxhash64(F.lit(parts), size, *(F.lit(d) if isinstance(d, int) else d for d in damaged), *pieces)
 
@@ -60,50 +60,63 @@ def _runs(damaged: tuple[int, ...]) -> list[int]:
     return runs
 
 
-def _first_ways(edits: int, probing: bool) -> list[tuple[list[int], list[int]]]:
-    """(damaged segments, moves) of edits + 1 segments.
+def _ways(parts: int, edits: int, probing: bool) -> list[tuple[list[int], list[int]]]:
+    """(damaged segments, moves) of so many parts.
 
     A line within `edits` edits damages at most as many segments. Sets of exactly so many
     are enough, in which a run of r neighbours moves what follows by r at most, as a segment
-    with several edits counts its neighbours as damaged too. An index needs no moves.
+    with several edits counts its neighbours as damaged too. An index needs no moves. Of
+    moves and their opposites, as lines of one size have them, one is left to the other line.
     """
     ways = []
-    for damaged in combinations(range(edits + 1), edits):
+    for damaged in combinations(range(parts), edits):
         for moves in product(*(range(-r, r + 1) if probing else (0,) for r in _runs(damaged))):
-            if 0 <= sum(moves) <= edits:
+            if 0 < sum(moves) <= edits or sum(moves) == 0 and moves >= tuple(-m for m in moves):
                 ways.append((list(damaged), list(moves)))
     return ways
 
 
 def _first_entries(edits: int, least: int, most: int, probing: bool) -> list[Column]:
-    """(key, size of the shorter line, way) for each way of _first_ways; null where that size isn't of the class."""
+    """(key, size of the shorter line, damaged, less) for each way of edits + 1 parts; null where that size isn't of the class."""
     entries = []
-    for number, (damaged, moves) in enumerate(_first_ways(edits, probing)):
-        size = F.col("size") - sum(moves)
-        entries.append(F.when(size.between(least, most), F.struct(_key(size, damaged, moves, edits + 1).alias("key"), size.alias("short"), F.lit(number).alias("way"))))
+    for damaged, moves in _ways(edits + 1, edits, probing):
+        size, both = F.col("size") - sum(moves), F.lit(sum(moves) > 0 or any(moves))
+        fields = (_key(size, damaged, moves, edits + 1).alias("key"), size.alias("short"), F.lit(damaged).alias("damaged"), F.lit(sum(moves)).alias("less"), both.alias("both"))
+        entries.append(F.when(size.between(least, most), F.struct(*fields)))
     return entries
 
 
 def _first_keys(rows: DataFrame, edits: int, least: int, most: int, probing: bool) -> DataFrame:
-    """(id, key, short, way) of rows (id, line, size)."""
+    """(id, key, short, damaged, less, both) of rows (id, wide, size)."""
     return rows.select("id", F.explode(F.array_compact(F.array(*_first_entries(edits, least, most, probing)))).alias("e")).select("id", "e.*")
 
 
-def _finer_keys(crowded: DataFrame, rows: DataFrame, edits: int, parts: int, probing: bool) -> DataFrame:
-    """(id, short, key, damaged, less): keys of lines that met under a crowded key, its damaged segments split into FAN each.
+def _finer_keys(met: DataFrame, rows: DataFrame, edits: int, parts: int, probing: bool) -> DataFrame:
+    """The same as _first_keys, for lines that met under a crowded key: met has (id, short, damaged, less).
 
-    The segments still damaged are `edits` of these, in any way.
+    Each damaged segment is split into FAN; `edits` of the finer ones, in any way, are damaged now.
     """
-    choices = []
-    for places in combinations(range(FAN * edits), edits):
-        for moves in product(range(-edits, edits + 1), repeat=edits) if probing else [(0,) * edits]:
-            if 0 <= sum(moves) and sum(map(abs, moves)) <= edits:
-                choices.append([sum(moves), *(p // FAN for p in places), *(p % FAN for p in places), *moves])
-    met = crowded.join(rows, "id").select("id", "short", "line", "less", "damaged", F.explode(F.lit(choices)).alias("c")).filter(F.col("c")[0] == F.col("less"))
-    damaged = [F.get("damaged", F.col("c")[1 + k]) * FAN + F.col("c")[1 + edits + k] for k in range(edits)]
-    met = met.select("id", "short", "line", "less", "c", F.array(*damaged).alias("damaged"))
-    key = _key(F.col("short"), [F.col("damaged")[k] for k in range(edits)], [F.col("c")[1 + 2 * edits + k] for k in range(edits)], parts)
-    return met.select("id", "short", key.alias("key"), "damaged", "less").distinct()
+    finer = F.flatten(F.transform("damaged", lambda d: F.transform(F.sequence(F.lit(0), F.lit(FAN - 1)), lambda k: d * FAN + k)))
+    choices = [[F.get("__finer", i) for i in c] for c in combinations(range(FAN * edits), edits)]
+    sets = met.select("id", "short", "less", finer.alias("__finer")).select("id", "short", "less", F.explode(F.array(*(F.array(*c) for c in choices))).alias("damaged")).distinct()
+    # the runs of neighbours decide which moves are left, so they are looked up by the gaps between damaged segments
+    moves: dict[tuple[int, ...], dict[int, list[list[int]]]] = {}
+    for damaged, move in _ways(2 * edits, edits, probing):
+        gaps = tuple(int(y - x == 1) for x, y in zip(damaged, damaged[1:]))
+        known = moves.setdefault(gaps, {}).setdefault(sum(move), [])
+        known.extend([move] if move not in known else [])
+    gap = [(F.col("damaged")[k + 1] - F.col("damaged")[k] == 1).cast("int") for k in range(edits - 1)]
+    none = F.array().cast("array<array<int>>")
+    options = none
+    for gaps, by_less in moves.items():
+        for less, found in by_less.items():
+            test = F.col("less") == less
+            for g, c in zip(gaps, gap):
+                test = test & (c == g)
+            options = F.when(test, F.lit(found)).otherwise(options)
+    entries = sets.select("id", "short", "less", "damaged", F.explode(options).alias("moves")).join(rows, "id")
+    key = _key(F.col("short"), [F.col("damaged")[k] for k in range(edits)], [F.col("moves")[k] for k in range(edits)], parts)
+    return entries.select("id", key.alias("key"), "short", "damaged", "less", F.exists("moves", lambda m: m != 0).alias("both"))
 
 
 def _candidates(rows: DataFrame, edits: int, least: int, most: int, hot: int) -> DataFrame:
@@ -112,36 +125,29 @@ def _candidates(rows: DataFrame, edits: int, least: int, most: int, hot: int) ->
     A key that more than `hot` lines are indexed under is not joined: its lines meet again
     under longer keys, of more and smaller segments, until a segment would be empty. Keys
     that are crowded then leave a few characters open, so what they join are mostly links.
-    Of lines of one size, only the one of smaller id needs to probe.
+    Of lines of one size and no moves, only the one of smaller id needs to probe.
     """
-    parts, found = edits + 1, None
+    rows, parts, found = rows.select("id", "wide", "size"), edits + 1, None
     index, probes = (_first_keys(rows, edits, least, most, probing) for probing in (False, True))
-    probes = probes.withColumn("less", F.get(F.lit([sum(w[1]) for w in _first_ways(edits, True)]), F.col("way")))
     while True:
         crowded = index.groupBy("key").agg(F.count("*").alias("n"), F.min("short").alias("short"))
         crowded = saved(crowded.filter((F.col("n") > hot) & (F.col("short") >= parts * FAN)).select("key"))
-        p = probes.select("key", F.col("id").alias("a"), "less").alias("p")
+        p = probes.select("key", F.col("id").alias("a"), "both").alias("p")
         i = index.join(crowded, "key", "left_anti").select("key", F.col("id").alias("b")).alias("i")
-        pairs = p.join(i, (F.col("p.key") == F.col("i.key")) & (F.col("a") != F.col("b")) & ((F.col("less") > 0) | (F.col("a") < F.col("b"))))
+        pairs = p.join(i, (F.col("p.key") == F.col("i.key")) & (F.col("a") != F.col("b")) & (F.col("both") | (F.col("a") < F.col("b"))))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         found = pairs if found is None else found.unionByName(pairs)
         if crowded.isEmpty():
             return found
-        if parts == edits + 1:  # only lines with crowded keys go on
-            rows = saved(rows.join(probes.join(crowded, "key", "left_semi").select("id").distinct(), "id", "left_semi"))
-            again = []
-            for probing in (False, True):
-                ways = _first_ways(edits, probing)
-                entry = _first_keys(rows, edits, least, most, probing).join(crowded, "key", "left_semi")
-                again.append(entry.select("id", "short", F.get(F.lit([w[0] for w in ways]), F.col("way")).alias("damaged"), F.get(F.lit([sum(w[1]) for w in ways]), F.col("way")).alias("less")))
-        else:
-            again = [entry.join(crowded, "key", "left_semi").drop("key") for entry in (index, probes)]
+        met = [entry.join(crowded, "key", "left_semi").select("id", "short", "damaged", "less").distinct() for entry in (index, probes)]
         parts *= FAN
-        index, probes = (saved(_finer_keys(entry.distinct(), rows, edits, parts, probing)) for entry, probing in zip(again, (False, True)))
+        index, probes = (saved(_finer_keys(entry, rows, edits, parts, probing)) for entry, probing in zip(met, (False, True)))
 
 
-def bounded_distance(a: str, b: str, size_a: Column, size_b: Column, edits: int) -> Column:
-    """The edit distance of two arrays of characters, whose sizes differ by `edits` at most; above `edits` it may be any larger number.
+def bounded_distance(a: str, b: str, edits: int) -> Column:
+    """The edit distance of two arrays of characters, of `edits` or more, the first of __size_a; above `edits` it may be any larger number.
+
+    Their sizes differ by `edits` at most.
 
     Bit k of a word is row j - edits + k of the distance table's column j. Until the last row comes into the
     band its lowest row is followed down the diagonal, then the last row to the right.
@@ -184,12 +190,27 @@ def bounded_distance(a: str, b: str, size_a: Column, size_b: Column, edits: int)
 
 
 def verified(pairs: DataFrame, rows: DataFrame, edits: int) -> DataFrame:
-    """Those of pairs (a, b) whose lines in rows (id, line, size) lie within `edits` edits."""
-    chars = F.split("line", "")
-    one = rows.select(F.col("id").alias("a"), chars.alias("__a"), F.col("size").alias("__size_a"))
-    two = rows.select(F.col("id").alias("b"), chars.alias("__b"), F.col("size").alias("__size_b"))
-    met = pairs.join(one, "a").join(two, "b").filter(F.abs(F.col("__size_a") - F.col("__size_b")) <= edits)
-    return met.filter(bounded_distance("__a", "__b", F.col("__size_a"), F.col("__size_b"), edits) <= edits).select("a", "b")
+    """Those of pairs (a, b) whose lines in rows (id, line, wide, size) lie within `edits` edits.
+
+    What both lines begin and end with, found by halving steps, plays no part in their
+    distance; it is cut off, but for as many characters as the band needs.
+    """
+    one = rows.select(F.col("id").alias("a"), F.col("line").alias("__la"), F.col("wide").alias("__wa"), F.col("size").alias("__na"))
+    two = rows.select(F.col("id").alias("b"), F.col("line").alias("__lb"), F.col("wide").alias("__wb"), F.col("size").alias("__nb"))
+    met = pairs.join(one, "a").join(two, "b").filter(F.abs(F.col("__na") - F.col("__nb")) <= edits)
+    steps = F.lit([1 << k for k in range(12, -1, -1)])
+    met = met.withColumn("__most", F.least("__na", "__nb") - edits)
+    met = met.withColumn("__begin", F.aggregate(steps, F.lit(0), lambda p, s: p + F.when(
+        (p + s <= F.col("__most")) & (F.substring("__wa", 4 * p + 1, 4 * s) == F.substring("__wb", 4 * p + 1, 4 * s)), s
+    ).otherwise(F.lit(0))))
+    met = met.withColumn("__end", F.aggregate(steps, F.lit(0), lambda p, s: p + F.when(
+        (p + s <= F.col("__most") - F.col("__begin"))
+        & (F.substring("__wa", 4 * (F.col("__na") - p - s) + 1, 4 * s) == F.substring("__wb", 4 * (F.col("__nb") - p - s) + 1, 4 * s)), s
+    ).otherwise(F.lit(0))))
+    rest = lambda n: F.col(n) - F.col("__begin") - F.col("__end")
+    part = lambda line, n: F.split(F.substring(line, F.col("__begin") + 1, rest(n)), "")
+    met = met.select("a", "b", part("__la", "__na").alias("__a"), part("__lb", "__nb").alias("__b"), rest("__na").alias("__size_a"))
+    return met.filter(bounded_distance("__a", "__b", edits) <= edits).select("a", "b")
 
 
 def _named(lines: DataFrame) -> DataFrame:
@@ -199,7 +220,9 @@ def _named(lines: DataFrame) -> DataFrame:
 
 def line_links(lines: DataFrame, hot: int = HOT, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """(h1, h2, o1, o2): each pair of different lines (column line, repeats allowed) within their bound, in both directions."""
-    sized = lines.select("line", F.length("line").alias("size")).filter(F.col("size") >= min(c[1] for c in CLASSES))
+    # four bytes a character, as a place in UTF-8 is found from the beginning only
+    wide = F.encode("line", "UTF-32").alias("wide")
+    sized = lines.select("line", F.length("line").alias("size")).filter(F.col("size") >= min(c[1] for c in CLASSES)).select("line", "size", wide)
     entries = [e["key"] for edits, least, most in CLASSES for e in _first_entries(edits, least, most, True)]
     keyed = sized.select("line", F.array(*entries).alias("keys"))
     # keys that two different lines have; a line that is repeated is summed up before the shuffle
@@ -210,10 +233,10 @@ def line_links(lines: DataFrame, hot: int = HOT, broadcast_keys: int = BROADCAST
     else:  # names find their keys first, so that texts are shuffled without them
         names = _named(keyed).select("h1", "h2", F.explode("keys").alias("key")).join(shared, "key", "left_semi").select("h1", "h2").distinct()
         rows = _named(sized.select("line")).join(names, ["h1", "h2"], "left_semi").select("line").distinct()
-    rows = saved(_named(rows).select("line", F.length("line").alias("size"), F.concat_ws(":", "h1", "h2").alias("id"), "h1", "h2"))
+    rows = saved(_named(rows).select("line", F.length("line").alias("size"), wide, F.concat_ws(":", "h1", "h2").alias("id")))
     links = None
     for edits, least, most in CLASSES:
-        pairs = saved(_candidates(rows.select("id", "line", "size"), edits, least, most, hot).distinct())
+        pairs = saved(_candidates(rows, edits, least, most, hot).distinct())
         found = verified(pairs, rows, edits)
         links = found if links is None else links.unionByName(found)
     links = saved(links.distinct())
