@@ -26,28 +26,27 @@ from pyspark.sql import functions as F
 from .common import saved
 
 #: (edits, least, most): edits allowed where the shorter line has so many code points.
-CLASSES = ((2, 16, 1 << 31), (1, 8, 15))
+CLASSES = ((2, 16, (1 << 31) - 1), (1, 8, 15))
 HOT, FAN = 8, 2  # lines beyond which a key is crowded; segments that a damaged one is split into then
 BROADCAST_KEYS = 1_000_000  # shared keys up to which these are broadcast, 8 bytes each
 SPACE = " \t\n\x0b\f\r"
 
 
-def _key(size: Column, damaged: list, moves: list, parts: int) -> Column:
+def _key(size: Column, damaged: list[Column], moves: list[Column], parts: Column) -> Column:
     """Hash of a shorter line's size, its damaged segments (from 0) of so many parts, and the characters of all others.
 
     Segment i starts at floor(size * i / parts). moves: by how much each damaged segment is
     longer in the line at hand, so that what follows lies further right.
     """
 
-    def bound(i) -> Column:
+    def bound(i: Column) -> Column:
         return F.floor(size * i / parts).cast("int")
 
-    pieces, at, shift = [], 0, 0
-    for d, move in zip([*damaged, parts], [*moves, 0]):
-        if not (isinstance(d, int) and isinstance(at, int) and d == at):
-            pieces.append(F.substring("wide", (bound(at) + shift) * 4 + 1, (bound(d) - bound(at)) * 4))
+    pieces, at, shift = [], F.lit(0), F.lit(0)
+    for d, move in zip([*damaged, parts], [*moves, F.lit(0)]):
+        pieces.append(F.substring("wide", (bound(at) + shift) * 4 + 1, (bound(d) - bound(at)) * 4))
         at, shift = d + 1, shift + move
-    return F.xxhash64(F.lit(parts), size, *(F.lit(d) if isinstance(d, int) else d for d in damaged), *pieces)
+    return F.xxhash64(parts, size, *damaged, *pieces)
 
 
 def _runs(damaged: tuple[int, ...]) -> list[int]:
@@ -76,19 +75,22 @@ def _ways(parts: int, edits: int, probing: bool) -> list[tuple[list[int], list[i
     return ways
 
 
-def _first_entries(edits: int, least: int, most: int, probing: bool) -> list[Column]:
-    """(key, size of the shorter line, damaged, less) for each way of edits + 1 parts; null where that size isn't of the class."""
-    entries = []
-    for damaged, moves in _ways(edits + 1, edits, probing):
-        size, both = F.col("size") - sum(moves), F.lit(sum(moves) > 0 or any(moves))
-        fields = (_key(size, damaged, moves, edits + 1).alias("key"), size.alias("short"), F.lit(damaged).alias("damaged"), F.lit(sum(moves)).alias("less"), both.alias("both"))
-        entries.append(F.when(size.between(least, most), F.struct(*fields)))
-    return entries
+def _first_keys(rows: DataFrame, classes: tuple, probing: bool) -> DataFrame:
+    """rows (with wide, size) for each way of edits + 1 parts, with key, short (size of the shorter line), damaged, less and both.
 
-
-def _first_keys(rows: DataFrame, edits: int, least: int, most: int, probing: bool) -> DataFrame:
-    """(id, key, short, damaged, less, both) of rows (id, wide, size)."""
-    return rows.select("id", F.explode(F.array_compact(F.array(*_first_entries(edits, least, most, probing)))).alias("e")).select("id", "e.*")
+    A way is a row of numbers, so that one expression, small enough for the JVM to compile,
+    makes all keys. Ways with fewer edits than others are filled up with an empty segment.
+    """
+    top, table = max(c[0] for c in classes), []
+    for edits, least, most in classes:
+        for damaged, moves in _ways(edits + 1, edits, probing):
+            fill = [0] * (top - edits)
+            table.append([least, most, edits + 1, sum(moves), int(any(moves)), *damaged, *(edits + 1 for _ in fill), *moves, *fill])
+    way = lambda i: F.col("__way")[i]
+    out = rows.withColumn("__way", F.explode(F.lit(table))).withColumn("short", F.col("size") - way(3)).filter(F.col("short").between(way(0), way(1)))
+    damaged, moves = [way(5 + k) for k in range(top)], [way(5 + top + k) for k in range(top)]
+    out = out.withColumns({"key": _key(F.col("short"), damaged, moves, way(2)), "damaged": F.array(*damaged), "less": way(3), "both": way(4) > 0})
+    return out.drop("__way")
 
 
 def _finer_keys(met: DataFrame, rows: DataFrame, edits: int, parts: int, probing: bool) -> DataFrame:
@@ -115,7 +117,7 @@ def _finer_keys(met: DataFrame, rows: DataFrame, edits: int, parts: int, probing
                 test = test & (c == g)
             options = F.when(test, F.lit(found)).otherwise(options)
     entries = sets.select("id", "short", "less", "damaged", F.explode(options).alias("moves")).join(rows, "id")
-    key = _key(F.col("short"), [F.col("damaged")[k] for k in range(edits)], [F.col("moves")[k] for k in range(edits)], parts)
+    key = _key(F.col("short"), [F.col("damaged")[k] for k in range(edits)], [F.col("moves")[k] for k in range(edits)], F.lit(parts))
     return entries.select("id", key.alias("key"), "short", "damaged", "less", F.exists("moves", lambda m: m != 0).alias("both"))
 
 
@@ -128,7 +130,7 @@ def _candidates(rows: DataFrame, edits: int, least: int, most: int, hot: int) ->
     Of lines of one size and no moves, only the one of smaller id needs to probe.
     """
     rows, parts, found = rows.select("id", "wide", "size"), edits + 1, None
-    index, probes = (_first_keys(rows, edits, least, most, probing) for probing in (False, True))
+    index, probes = (_first_keys(rows, ((edits, least, most),), probing).drop("wide", "size") for probing in (False, True))
     while True:
         crowded = index.groupBy("key").agg(F.count("*").alias("n"), F.min("short").alias("short"))
         crowded = saved(crowded.filter((F.col("n") > hot) & (F.col("short") >= parts * FAN)).select("key"))
@@ -210,7 +212,8 @@ def verified(pairs: DataFrame, rows: DataFrame, edits: int) -> DataFrame:
     rest = lambda n: F.col(n) - F.col("__begin") - F.col("__end")
     part = lambda line, n: F.split(F.substring(line, F.col("__begin") + 1, rest(n)), "")
     met = met.select("a", "b", part("__la", "__na").alias("__a"), part("__lb", "__nb").alias("__b"), rest("__na").alias("__size_a"))
-    return met.filter(bounded_distance("__a", "__b", edits) <= edits).select("a", "b")
+    # saved, as a filter would be moved below the columns above and make them anew for each character
+    return saved(met.select("a", "b", bounded_distance("__a", "__b", edits).alias("d"))).filter(F.col("d") <= edits).select("a", "b")
 
 
 def _named(lines: DataFrame) -> DataFrame:
@@ -223,15 +226,13 @@ def line_links(lines: DataFrame, hot: int = HOT, broadcast_keys: int = BROADCAST
     # four bytes a character, as a place in UTF-8 is found from the beginning only
     wide = F.encode("line", "UTF-32").alias("wide")
     sized = lines.select("line", F.length("line").alias("size")).filter(F.col("size") >= min(c[1] for c in CLASSES)).select("line", "size", wide)
-    entries = [e["key"] for edits, least, most in CLASSES for e in _first_entries(edits, least, most, True)]
-    keyed = sized.select("line", F.array(*entries).alias("keys"))
     # keys that two different lines have; a line that is repeated is summed up before the shuffle
-    bare = _named(keyed).select("h1", F.explode("keys").alias("key")).filter("key is not null")
+    bare = _first_keys(sized.select(F.xxhash64("line").alias("h1"), "size", "wide"), CLASSES, True).select("h1", "key")
     shared = saved(bare.groupBy("key").agg(F.min("h1").alias("least"), F.max("h1").alias("most")).filter("least != most").select("key"))
     if shared.count() <= broadcast_keys:
-        rows = keyed.select("line", F.explode("keys").alias("key")).join(F.broadcast(shared), "key", "left_semi").select("line").distinct()
+        rows = _first_keys(sized, CLASSES, True).select("line", "key").join(F.broadcast(shared), "key", "left_semi").select("line").distinct()
     else:  # names find their keys first, so that texts are shuffled without them
-        names = _named(keyed).select("h1", "h2", F.explode("keys").alias("key")).join(shared, "key", "left_semi").select("h1", "h2").distinct()
+        names = _first_keys(_named(sized).drop("line"), CLASSES, True).select("h1", "h2", "key").join(shared, "key", "left_semi").select("h1", "h2").distinct()
         rows = _named(sized.select("line")).join(names, ["h1", "h2"], "left_semi").select("line").distinct()
     rows = saved(_named(rows).select("line", F.length("line").alias("size"), wide, F.concat_ws(":", "h1", "h2").alias("id")))
     links = None
