@@ -4,8 +4,9 @@ Each document has the key -ln(u) / quality, u uniform from a hash of its id and
 Within a source, whole epochs come first; what remains of the source's target is filled
 with documents in ascending key order until their summed sizes come nearest to it. The
 prefix sums need no ordering of a whole source: sizes are summed by (source, key range),
-the range that holds the boundary is found from these sums, and only its documents are
-ordered.
+the range that holds the boundary is found from these sums, then in the same way a finer
+range inside it, and only the documents of that one are ordered. Ranges are even in
+key / (1 + key), which spreads the keys of good and of bad documents alike.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, saved
 
-RANGES = 4096
+RANGES = 4096  # and as many finer ones in each
 MAX_EPOCHS = 3
 WEIGHTS = (5, 2, 1)
 
@@ -59,50 +60,56 @@ def mix(
     mix_size is the number of words (null text: 0), mix_copies how often the mix holds
     the document (0 to `most`), mix_taken = mix_size * mix_copies. Null sources are one
     source. Rows that agree in id and text are taken or left together in the last,
-    partial epoch. Rows and other columns stay; no rows: none.
+    partial epoch. Rows stay, and other columns, but for any of these five names; no rows:
+    none. The sources' targets are worked out in one task, a row for each source.
     """
     text = F.col(text_col)
     mark = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))).cast("binary"))
     u = (F.conv(F.substring(mark, 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 52))
     key = -F.log(u) / (quality if quality is not None else quality_column(text))
-    rows = docs.withColumns({
-        "mix_size": size_column(text), "__key": key, "__mark": mark,
-    }).withColumn("__range", F.least(F.floor((F.lit(1.0) - F.exp(-F.col("__key"))) * RANGES), F.lit(RANGES - 1)).cast("int"))
-    slim = saved(rows.select(F.col(source_col).alias("source"), "__range", "__key", "__mark", "mix_size"))
-    ranges = slim.groupBy("source", "__range").agg(F.sum("mix_size").alias("words"))
-    targets = saved(source_targets(ranges.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most))
-    plan = targets.withColumn("epochs", F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0)).cast("int"))
-    plan = plan.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    up_to = Window.partitionBy("s").orderBy("__range")
-    joined = ranges.join(
-        plan.select(F.col("source").alias("s"), "rest"), F.col("source").eqNullSafe(F.col("s"))
-    )
-    edge = (
-        joined.withColumn("after", F.sum("words").over(up_to)).withColumn("before", F.col("after") - F.col("words"))
-        .filter((F.col("after") > F.col("rest")) & (F.col("before") <= F.col("rest")) & (F.col("words") > 0))
-        .select(F.col("s").alias("es"), F.col("__range").alias("edge"), (F.col("rest") - F.col("before")).alias("room"))
-    )
-    in_order = Window.partitionBy("es").orderBy("__key", "__mark")
+    new = ("mix_size", "mix_source_size", "mix_target", "mix_copies", "mix_taken")
+    cell = F.floor(F.col("__key") / (F.col("__key") + 1) * (RANGES * RANGES)).cast("long")
+    rows = docs.withColumns({"__size": size_column(text), "__key": key, "__mark": mark}).withColumn("__cell", cell)
+    slim = saved(rows.select(F.col(source_col).alias("source"), "__cell", "__key", "__mark", F.col("__size").alias("size")))
+    ranges = saved(slim.groupBy("source", F.floor(F.col("__cell") / RANGES).alias("range")).agg(F.sum("size").alias("words")))
+    plan = source_targets(ranges.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
+    plan = plan.withColumn("__epochs", F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0)).cast("int"))
+    plan = saved(plan.withColumn("rest", F.col("target") - F.col("__epochs") * F.col("source_size")))
+
+    def edge(sums: DataFrame, room: DataFrame) -> DataFrame:
+        """(s, range, room): by source, the range of sums in which its room ends, and the room that is left for that range."""
+        up_to = Window.partitionBy("s").orderBy("range")
+        joined = sums.join(room, F.col("source").eqNullSafe(F.col("s"))).filter("words > 0")
+        ends = joined.withColumn("after", F.sum("words").over(up_to)).withColumn("before", F.col("after") - F.col("words"))
+        return ends.filter((F.col("after") > F.col("room")) & (F.col("before") <= F.col("room"))).select("s", "range", (F.col("room") - F.col("before")).alias("room"))
+
+    # a source that is taken in whole epochs has no edge
+    first = saved(edge(ranges, plan.filter("rest > 0").select(F.col("source").alias("s"), F.col("rest").alias("room"))))
+    inside = slim.join(first.select(F.col("s").alias("fs"), F.col("range").alias("wide")), F.col("source").eqNullSafe(F.col("fs")) & (F.floor(F.col("__cell") / RANGES) == F.col("wide")))
+    finer = inside.groupBy("source", F.col("__cell").alias("range")).agg(F.sum("size").alias("words"))
+    second = saved(edge(finer, first.select("s", "room")))
+    in_order = Window.partitionBy("s").orderBy("__key", "__mark")
     last = (
-        slim.join(edge, F.col("source").eqNullSafe(F.col("es")) & (F.col("__range") == F.col("edge")))
-        .groupBy("es", "edge", "room", "__key", "__mark").agg(F.sum("mix_size").alias("words"))
+        slim.join(second, F.col("source").eqNullSafe(F.col("s")) & (F.col("__cell") == F.col("range")))
+        .groupBy("s", "room", "__key", "__mark").agg(F.sum("size").alias("words"))
         .withColumn("after", F.sum("words").over(in_order)).withColumn("before", F.col("after") - F.col("words"))
         # the nearest: with the crossing document, if that overshoots by less than leaving it out falls short
         .filter((F.col("after") <= F.col("room")) | ((F.col("before") <= F.col("room")) & (F.col("room") - F.col("before") > F.col("after") - F.col("room"))))
-        .groupBy("es").agg(F.max(F.struct("__key", "__mark")).alias("last"))
+        .groupBy("s").agg(F.max(F.struct("__key", "__mark")).alias("__last"))
     )
+    plan = plan.join(second.select(F.col("s").alias("s2"), F.col("range").alias("__edge")), F.col("source").eqNullSafe(F.col("s2")), "left")
     plan = saved(
-        plan.join(edge, F.col("source").eqNullSafe(F.col("es")), "left").drop("es", "room")
-        .join(last, F.col("source").eqNullSafe(F.col("es")), "left")
-        .select(F.col("source").alias("__s"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), "epochs", F.col("edge").alias("__edge"), F.col("last").alias("__last"))
+        plan.join(last, F.col("source").eqNullSafe(F.col("s")), "left")
+        .select(F.col("source").alias("__s"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), "__epochs", "__edge", "__last")
     )
-    more = F.col("__edge").isNotNull() & (
-        (F.col("__range") < F.col("__edge"))
-        | ((F.col("__range") == F.col("__edge")) & F.coalesce(F.struct("__key", "__mark") <= F.col("__last"), F.lit(False)))
+    more = F.col("__edge").isNotNull() & (F.col("__epochs") < most) & (
+        (F.col("__cell") < F.col("__edge"))
+        | ((F.col("__cell") == F.col("__edge")) & F.coalesce(F.struct("__key", "__mark") <= F.col("__last"), F.lit(False)))
     )
-    copies = F.col("epochs") + F.coalesce(more, F.lit(False)).cast("int")
+    copies = F.col("__epochs") + F.coalesce(more, F.lit(False)).cast("int")
     return (
-        rows.join(plan, F.col(source_col).eqNullSafe(F.col("__s")))
-        .withColumn("mix_copies", copies).withColumn("mix_taken", F.col("mix_size") * F.col("mix_copies"))
-        .drop("__key", "__mark", "__range", "__s", "epochs", "__edge", "__last")
+        rows.drop(*new).join(plan, rows[source_col].eqNullSafe(plan["__s"]))
+        .withColumns({"mix_size": F.col("__size"), "mix_source_size": F.col("__source_size"), "mix_target": F.col("__target"), "mix_copies": copies})
+        .withColumn("mix_taken", F.col("mix_size") * F.col("mix_copies"))
+        .drop("__key", "__mark", "__cell", "__size", "__s", "__source_size", "__target", "__epochs", "__edge", "__last")
     )
