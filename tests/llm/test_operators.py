@@ -46,8 +46,9 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def test_simhash_matches_brute_force(df, docs, empty):
+def test_simhash_matches_brute_force(df, docs, empty, monkeypatch):
     for hot in (simhash.HOT_BUCKET, 1):
+        monkeypatch.setattr(simhash, "CROWDED", 1000 if hot > 1 else 1)
         got = simhash.near_duplicates(df, hot=hot).collect()
         assert len(got) == len(docs)
         prints = {r["fp"] & (1 << 64) - 1 for r in got}
@@ -131,6 +132,26 @@ def test_mixing(spark, df, docs, empty):
     assert sorted((r["doc_id"] or -1, r["mix_taken"]) for r in got) == sorted((r["doc_id"] or -1, r["mix_taken"]) for r in mixing.mix(df.repartition(5)).collect())
 
 
+def test_mixing_of_full_sources_and_extra_columns(spark):
+    rows = [(i, "", "a", 1) for i in range(60)] + [(100 + i, "w " * (i % 5), "a", 1) for i in range(40)] + [(200 + i, "w " * 40, "b", 1) for i in range(50)]
+    rows += [(300 + i, "# $ % & w" if i % 7 else "words of a good text", "c", 1) for i in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, epochs int")
+    frame = frame.withColumns({"mix_source_size": F.lit("x"), "rest": F.lit(1), "size": F.lit(2), "range": F.lit(3), "s": F.lit(4)})
+    got = mixing.mix(frame).collect()
+    assert len(got) == len(rows) and [c for c in mixing.mix(frame).columns if c == "mix_source_size"] and all(r["epochs"] == 1 and r["rest"] == 1 for r in got)
+    assert max(r["mix_copies"] for r in got) == 3 and all(r["mix_copies"] == 3 for r in got if r["source"] == "a")
+    for s in "abc":
+        mine = [r for r in got if r["source"] == s]
+        assert abs(sum(r["mix_taken"] for r in mine) - mine[0]["mix_target"]) <= max(r["mix_size"] for r in mine)
+    # the last epoch takes the smallest keys of the source
+    keys = {r["doc_id"]: r["k"] for r in frame.select("doc_id", (-F.log((F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("17"), F.col("doc_id").cast("string"), F.md5(F.col("text").cast("binary"))).cast("binary")), 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 52))) / mixing.quality_column(F.col("text"))).alias("k")).collect()}
+    for s in "bc":
+        some = sorted({r["mix_copies"] for r in got if r["source"] == s})
+        assert len(some) <= 2
+        if len(some) == 2:
+            assert max(keys[r["doc_id"]] for r in got if r["source"] == s and r["mix_copies"] == some[1]) < min(keys[r["doc_id"]] for r in got if r["source"] == s and r["mix_copies"] == some[0])
+
+
 def test_token_files(spark, df, docs, empty, tmp_path):
     from tokenizers import Tokenizer
 

@@ -25,6 +25,7 @@ MAX_BITS = 3
 SHINGLE = 3
 BLOCK = 1 << 16  # shingles hashed at a time, so that a long text needs no more memory
 HOT_BUCKET = 1024
+CROWDED = 1000  # rows of one fingerprint, and parts of all rows, beyond which its class is broadcast: at most so many are
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -131,7 +132,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id. Repeated rows each give a row. No rows: none.
     """
     prints = saved(docs.select(F.col(id_col).alias("id"), fingerprint_column(F.col(text_col)).alias("fp")))
-    fps = saved(prints.groupBy("fp").agg(F.min("id").alias("rep")))
+    fps = saved(prints.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
     joined = connected_components(links(fps.select("fp"), hot))
     member = joined.join(fps, joined["node"] == fps["fp"]).select("node", "root", "rep")
     roots = member.groupBy("root").agg(F.min("rep").alias("component"))
@@ -139,7 +140,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = fps.join(moved, "fp", "left").select(
         "fp", F.coalesce("component", "rep").alias("component_id")
     )
-    return prints.join(classes, "fp").select("id", "fp", "component_id")
+    # fingerprints of many rows are few, so their classes are broadcast; the others are joined by shuffle
+    rows = prints.count()
+    crowded = F.col("n") > max(CROWDED, rows // CROWDED)
+    often = saved(fps.filter(crowded).select("fp"))
+    hot = prints.join(F.broadcast(classes.join(often, "fp", "left_semi")), "fp")
+    rest = prints.join(F.broadcast(often), "fp", "left_anti").join(classes.join(F.broadcast(often), "fp", "left_anti"), "fp")
+    return hot.unionByName(rest).select("id", "fp", "component_id")
 
 
 def hex_fingerprint(fp):
