@@ -18,6 +18,7 @@ from .common import WORD, saved
 
 RANGES = 4096  # and as many finer ones in each
 MAX_EPOCHS = 3
+BROADCAST_SOURCES = 100_000  # sources up to which what is known of them is broadcast, some 100 bytes each
 WEIGHTS = (5, 2, 1)
 
 
@@ -102,6 +103,8 @@ def mix(
         plan.join(last, F.col("source").eqNullSafe(F.col("s")), "left")
         .select(F.col("source").alias("__s"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), "__epochs", "__edge", "__last")
     )
+    if plan.count() <= BROADCAST_SOURCES:  # else texts are shuffled
+        plan = F.broadcast(plan)
     more = F.col("__edge").isNotNull() & (F.col("__epochs") < most) & (
         (F.col("__cell") < F.col("__edge"))
         | ((F.col("__cell") == F.col("__edge")) & F.coalesce(F.struct("__key", "__mark") <= F.col("__last"), F.lit(False)))
