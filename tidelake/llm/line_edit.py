@@ -132,10 +132,14 @@ def _candidates(rows: DataFrame, edits: int, least: int, most: int, hot: int) ->
     rows, parts, found = rows.select("id", "wide", "size"), edits + 1, None
     index, probes = (_first_keys(rows, ((edits, least, most),), probing).drop("wide", "size") for probing in (False, True))
     while True:
-        crowded = index.groupBy("key").agg(F.count("*").alias("n"), F.min("short").alias("short"))
-        crowded = saved(crowded.filter((F.col("n") > hot) & (F.col("short") >= parts * FAN)).select("key"))
-        p = probes.select("key", F.col("id").alias("a"), "both").alias("p")
-        i = index.join(crowded, "key", "left_anti").select("key", F.col("id").alias("b")).alias("i")
+        # by key, whether two lines have it and how many are indexed under it; only then are lines joined
+        both_sides = index.select("key", "id", "short", F.lit(1).alias("i")).unionByName(probes.select("key", "id", "short", F.lit(0).alias("i")))
+        line = F.xxhash64("id")
+        keys = both_sides.groupBy("key").agg(F.sum("i").alias("n"), F.min("short").alias("short"), F.min(line).alias("least"), F.max(line).alias("most"))
+        keys = saved(keys.filter("n > 0 and least != most").select("key", ((F.col("n") > hot) & (F.col("short") >= parts * FAN)).alias("crowded")))
+        crowded, few = keys.filter("crowded").select("key"), keys.filter("not crowded").select("key")
+        p = probes.join(few, "key", "left_semi").select("key", F.col("id").alias("a"), "both").alias("p")
+        i = index.join(few, "key", "left_semi").select("key", F.col("id").alias("b")).alias("i")
         pairs = p.join(i, (F.col("p.key") == F.col("i.key")) & (F.col("a") != F.col("b")) & (F.col("both") | (F.col("a") < F.col("b"))))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         found = pairs if found is None else found.unionByName(pairs)
