@@ -77,3 +77,22 @@ def test_streams(spark, tmp_path):
     assert feed.follow_changes(spark, str(tmp_path / "t"), str(tmp_path / "o"), lambda df, a, b: seen.append((a, b, df.count()))) == t.versions()[-1]
     assert feed.follow_changes(spark, str(tmp_path / "t"), str(tmp_path / "o"), None) is None
     assert seen[0][2] == 20
+
+
+def test_a_lost_commit_leaves_the_catalog_as_it_is_stored(spark, tmp_path):
+    schema = T.StructType([T.StructField("id", T.IntegerType())])
+    one = catalog.FileCatalog(spark, str(tmp_path / "c"))
+    one.create_namespace("n")
+    meta = one.create_table("n", "t", schema, str(tmp_path / "t"))
+    two = catalog.FileCatalog(spark, str(tmp_path / "c"))
+    won = one.commit("n", "t", meta, meta.append([], now=1000))
+    with pytest.raises(RuntimeError):
+        two.commit("n", "t", meta, meta.append([], now=2000))
+    assert two.load_table("n", "t") == won
+    with pytest.raises(RuntimeError):
+        two.commit("n", "t", meta, meta.append([], now=2000))
+    again = two.commit("n", "t", won, won.append([], now=3000))
+    assert catalog.FileCatalog(spark, str(tmp_path / "c")).load_table("n", "t") == again
+    with pytest.raises(RuntimeError):
+        one.drop_table("n", "t", purge=spark)
+    assert one.load_table("n", "t") == again

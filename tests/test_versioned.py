@@ -93,3 +93,49 @@ def test_identity_and_row_ids(spark, tmp_path):
     t.delete(E.equal("k", 10))
     assert sorted(r["row_id"] for r in t.row_ids().collect()).__len__() == 13
     assert t.row_ids().select("row_id").distinct().count() == 13
+
+
+def test_rows_keep_their_ids(spark, tmp_path):
+    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("p", T.IntegerType()), T.StructField("v", T.StringType())])
+    tracked = {"delta.enableRowTracking": "true", "delta.enableChangeDataFeed": "true"}
+    t = VersionedTable.create(spark, str(tmp_path / "t"), schema, ["p"], properties=tracked)
+    rows = lambda a, b: spark.range(a, b).select(F.col("id").alias("k"), (F.col("id") % 2).cast("int").alias("p"), F.lit("x").alias("v"))
+    ids = lambda: {r["k"]: (r["row_id"], r["row_commit_version"]) for r in t.row_ids().collect()}
+    t.write(rows(0, 10).repartition(2))
+    t.write(rows(10, 20).repartition(2))
+    first = ids()
+    assert sorted(i for i, _ in first.values()) == list(range(20))
+    assert t.update(E.isin("k", [3, 12]), {"v": E.Lit("y")}) == (2, 3)
+    assert ids() == first | {k: (first[k][0], 3) for k in (3, 12)}
+    t.delete(E.equal("k", 4))
+    t.compact()  # of two partitions, in one commit
+    kept = {k: v for k, v in (first | {k: (first[k][0], 3) for k in (3, 12)}).items() if k != 4}
+    assert ids() == kept
+    t.update(E.equal("k", 5), {"v": F.lit(None).cast("string"), "p": E.Lit(0)})  # a row that was carried on before, to another partition
+    assert ids() == kept | {5: (kept[5][0], 6)}
+    t.write(rows(20, 23))
+    assert {k: v for k, v in ids().items() if k < 20} == kept | {5: (kept[5][0], 6)}
+    every = [i for i, _ in ids().values()]
+    assert len(every) == len(set(every)) == 22
+    bases = [f["baseRowId"] for f in t.snapshot().files.values()]
+    assert len(bases) == len(set(bases))
+    assert t.read().columns == ["k", "p", "v"] and t.read().count() == 22
+    got = sorted((r["k"], r["_change_type"], r["v"]) for r in t.changes(3, 3).collect())
+    assert got == [(k, f"update_{w}", v) for k in (3, 12) for w, v in (("postimage", "y"), ("preimage", "x"))]
+
+
+def test_tracking_turned_on_later(spark, tmp_path):
+    t = VersionedTable.create(spark, str(tmp_path / "t"), T.StructType([T.StructField("k", T.LongType())]))
+    t.write(spark.range(4).toDF("k").coalesce(1))
+    t.set_properties({"delta.enableRowTracking": "true"})
+    t.write(spark.range(8).toDF("k").repartition(3).filter("k < 0"))
+    assert [r["row_id"] for r in t.row_ids().collect()] == [None] * 4
+    t.update(E.equal("k", 2), {"k": E.Lit(9)})
+    assert sorted(r["row_id"] for r in t.row_ids().collect()) == [0, 1, 2, 3]
+
+
+def test_a_wrong_mode_writes_nothing(spark, tmp_path):
+    t = VersionedTable.create(spark, str(tmp_path / "t"), T.StructType([T.StructField("k", T.LongType())]))
+    with pytest.raises(ValueError):
+        t.write(spark.range(3).toDF("k"), mode="merge")
+    assert not list((tmp_path / "t").glob("*.parquet"))

@@ -37,6 +37,11 @@ class Conflict(RuntimeError):
     """Another writer committed the version first."""
 
 
+#: Columns with the row id and the version of a row that a rewrite carries on, and the properties that name them in files.
+ROW_ID, ROW_VERSION = "__row_id", "__row_version"
+_KEPT = {ROW_ID: "delta.rowTracking.materializedRowIdColumnName", ROW_VERSION: "delta.rowTracking.materializedRowCommitVersionColumnName"}
+
+
 class UnsupportedProtocol(RuntimeError):
     pass
 
@@ -96,7 +101,7 @@ class VersionedTable:
             properties |= {"delta.columnMapping.mode": column_mapping, "delta.columnMapping.maxColumnId": str(len(schema))}
         for c in partition_by or []:
             E.field_type(schema, c)
-        meta = _metadata(schema, partition_by or [], properties)
+        meta = _metadata(schema, partition_by or [], _with_kept(properties))
         actions = [{"protocol": {"minReaderVersion": 3, "minWriterVersion": 7, "readerFeatures": ["deletionVectors"], "writerFeatures": ["deletionVectors", "domainMetadata"]}}, {"metaData": meta}]
         if not store.write_new(_name(0), _lines([_info("CREATE TABLE"), *actions])):
             raise Conflict(f"a table is at {path} already")
@@ -231,44 +236,60 @@ class VersionedTable:
     def _physical(self, snap: Snapshot) -> T.StructType:
         return T.StructType([T.StructField(_stored(f), f.dataType, True) for f in snap.schema.fields])
 
-    def _files_df(self, snap: Snapshot, files: list[dict]) -> DataFrame:
-        """Rows of files with __file (the path in the log) and __row; no deletion vectors applied. Partition values come from folder names."""
+    def _files_df(self, snap: Snapshot, files: list[dict], kept: bool = False) -> DataFrame:
+        """Rows of files with __file (the path in the log) and __row; no deletion vectors applied. Partition values come from folder names.
+
+        With kept, also the row ids and versions that a rewrite carried on, null where the file's own hold.
+        """
         paths = [f"{self.path}/{unquote(f['path'])}" for f in files]
-        df = self.spark.read.schema(self._physical(snap)).option("basePath", self.path).parquet(*paths)
+        carried = {snap.properties[p]: c for c, p in _KEPT.items() if kept and p in snap.properties}
+        schema = T.StructType([*self._physical(snap).fields, *(T.StructField(c, T.LongType()) for c in carried)])
+        df = self.spark.read.schema(schema).option("basePath", self.path).parquet(*paths)
         name = F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B"))
         below = F.substring(name, F.length(F.regexp_extract(name, "^.*?" + _regex(self.path.split("://")[-1].removeprefix("file:")) + "/", 0)) + 1, F.lit(1 << 20))
         df = df.withColumns({"__file": below, "__row": F.col("_metadata.row_index")})
-        return df.withColumnsRenamed({_stored(f): f.name for f in snap.schema.fields if _stored(f) != f.name})
+        return df.withColumnsRenamed({_stored(f): f.name for f in snap.schema.fields if _stored(f) != f.name} | carried)
 
-    def _rows(self, snap: Snapshot, files: list[dict], keep_place: bool = False) -> DataFrame:
+    def _rows(self, snap: Snapshot, files: list[dict], keep_place: bool = False, kept: bool = False) -> DataFrame:
         if not files:
             empty = T.StructType([*snap.schema.fields, *([T.StructField("__file", T.StringType()), T.StructField("__row", T.LongType())] if keep_place else [])])
             return self.spark.createDataFrame([], empty)
         marked = [f for f in files if f.get("deletionVector")]
         plain = [f for f in files if not f.get("deletionVector")]
-        parts = [self._files_df(snap, plain)] if plain else []
+        parts = [self._files_df(snap, plain, kept)] if plain else []
         if marked:
             vectors = [(unquote(f["path"]), json.dumps(f["deletionVector"])) for f in marked]
             gone = self.spark.createDataFrame(vectors, "__file string, vector string").repartition(min(len(vectors), 200)).mapInPandas(_expand, "__file string, __row long")
-            parts.append(self._files_df(snap, marked).join(gone, ["__file", "__row"], "left_anti"))
+            parts.append(self._files_df(snap, marked, kept).join(gone, ["__file", "__row"], "left_anti"))
         df = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         return df if keep_place else df.drop("__file", "__row")
 
     def row_ids(self) -> DataFrame:
-        """Rows with their row id and the version that wrote them (row tracking on)."""
+        """Rows with their row_id and row_commit_version, the version that last changed them (row tracking on).
+
+        Updates and compaction keep a row's id. Both are null for rows of files from before row tracking.
+        """
         snap = self.snapshot()
-        base = [(unquote(f["path"]), f["baseRowId"], f["defaultRowCommitVersion"]) for f in snap.files.values() if "baseRowId" in f]
-        entries = self.spark.createDataFrame(base, "__file string, base long, row_commit_version long")
-        df = self._rows(snap, list(snap.files.values()), True).join(entries, "__file")
-        return df.withColumn("row_id", F.col("base") + F.col("__row")).drop("__file", "__row", "base")
+        return self._identified(snap, list(snap.files.values())).withColumnsRenamed({ROW_ID: "row_id", ROW_VERSION: "row_commit_version"})
+
+    def _identified(self, snap: Snapshot, files: list[dict]) -> DataFrame:
+        """Rows of files with ROW_ID and ROW_VERSION: those carried on by a rewrite, else by the file and the place in it."""
+        if not files:
+            return self._rows(snap, files).withColumns({ROW_ID: F.lit(None).cast("long"), ROW_VERSION: F.lit(None).cast("long")})
+        entries = [(unquote(f["path"]), f.get("baseRowId"), f.get("defaultRowCommitVersion")) for f in files]
+        df = self._rows(snap, files, True, True).join(self.spark.createDataFrame(entries, "__file string, __base long, __since long"), "__file")
+        own = {ROW_ID: F.col("__base") + F.col("__row"), ROW_VERSION: F.col("__since")}
+        df = df.withColumns({c: F.coalesce(F.col(c), x) if c in df.columns else x for c, x in own.items()})
+        return df.select(*(F.col(E.quoted(c)) for c in snap.schema.names), ROW_ID, ROW_VERSION)
 
     # -- writing
 
     def _write_files(self, snap: Snapshot, df: DataFrame, folder: str = "", partitioned: bool = True) -> list[dict]:
-        """Write rows as new files with unique names and describe each in an add, with statistics."""
+        """Write rows as new files with unique names and describe each in an add, with statistics. ROW_ID and ROW_VERSION are carried on if df has them."""
         mark = uuid.uuid4().hex
         stage = f"{self.path}/{folder}_stage-{mark}"
-        named = df.select(*(F.col(E.quoted(f.name)).cast(f.dataType).alias(_stored(f)) for f in snap.schema.fields), *([F.col("_change_type")] if folder else []))
+        carried = [F.col(c).cast("long").alias(snap.properties[p]) for c, p in _KEPT.items() if not folder and c in df.columns and p in snap.properties]
+        named = df.select(*(F.col(E.quoted(f.name)).cast(f.dataType).alias(_stored(f)) for f in snap.schema.fields), *([F.col("_change_type")] if folder else []), *carried)
         keys = [_stored(snap.schema[c]) for c in snap.partition_columns] if partitioned else []
         w = named.write.option("parquet.page.write-checksum.enabled", "true")
         (w.partitionBy(*keys) if keys else w).parquet(stage)
@@ -284,6 +305,8 @@ class VersionedTable:
             for r in skipping.file_statistics(self.spark.read.schema(physical).parquet(*(f"{stage}/{n}" for n, _, _ in found))).collect():
                 stats[unquote(r["file"]).partition(f"_stage-{mark}/")[2]] = (r["num_records"], r["stats"].asDict(recursive=True))
         for name, size, at in found:
+            if not folder and name not in stats:  # of an empty partition
+                continue
             parent, _, file = name.rpartition("/")
             target = f"{folder}{parent + '/' if parent else ''}{mark}-{file}"
             self.store.fs.mkdirs(self.store._path(target).getParent())
@@ -304,7 +327,7 @@ class VersionedTable:
 
     def _tracked(self, snap: Snapshot, adds: list[dict]) -> list[dict]:
         """Adds with base row ids, and the new mark, if the table tracks rows."""
-        if snap.properties.get("delta.enableRowTracking") != "true":
+        if not _tracks(snap):
             return [{"add": a} for a in adds]
         mark, out = snap.row_id_mark, []
         for a in adds:
@@ -314,6 +337,8 @@ class VersionedTable:
 
     def write(self, df: DataFrame, mode: str = "append", app_id: str | None = None, app_version: int | None = None) -> int | None:
         """Append to the table or replace its rows. With app_id, a version already seen for it writes nothing and returns None."""
+        if mode not in ("append", "overwrite"):
+            raise ValueError(mode)
         snap = self.snapshot()
         if app_id is not None and snap.txns.get(app_id, -1) >= app_version:
             return None
@@ -323,10 +348,8 @@ class VersionedTable:
             raise ValueError(f"columns differ: {sorted(missing)}")
         adds = self._write_files(snap, df)
         removes = [_remove(f) for f in snap.files.values()] if mode == "overwrite" else []
-        if mode not in ("append", "overwrite"):
-            raise ValueError(mode)
         txn = [{"txn": {"appId": app_id, "version": app_version}}] if app_id is not None else []
-        tracked = snap.properties.get("delta.enableRowTracking") == "true"
+        tracked = _tracks(snap)
         return self.commit(snap, [*meta, *txn, *removes, *self._tracked(snap, adds)], "WRITE", appends=mode == "append" and not meta and not txn and not tracked)
 
     def _identities(self, snap: Snapshot, df: DataFrame) -> tuple[DataFrame, list[dict]]:
@@ -370,7 +393,7 @@ class VersionedTable:
         """Mark the rows for which predicate is true in deletion vectors. (rows, version); no match: no commit."""
         snap = self.snapshot()
         hit = E.where(self._rows(snap, self.plan(snap, predicate), True), predicate)
-        places = hit.groupBy("__file").applyInPandas(_pack, "file string, rows long, vector binary").collect()  # a bitmap for each file
+        places = hit.select("__file", "__row").groupBy("__file").applyInPandas(_pack, "file string, rows long, vector binary").collect()  # a bitmap for each file
         if not places:
             return 0, snap.version
         by_path = {unquote(p): f for p, f in snap.files.items()}
@@ -390,8 +413,11 @@ class VersionedTable:
         return total, self.commit(snap, actions, "DELETE")
 
     def update(self, predicate: E.Predicate, assignments: dict[str, Column | E.Expression]) -> tuple[int, int]:
-        """Set columns where predicate is true; every expression sees the old row. Files without a match stay. (rows, version)."""
-        snap = self.snapshot()
+        """Set columns where predicate is true; every expression sees the old row. Files without a match stay. (rows, version).
+
+        Where rows are tracked they keep their id, and those not changed the version that last changed them.
+        """
+        snap = self._tracking_named()
         for c in assignments:
             E.field_type(snap.schema, c)
         files = self.plan(snap, predicate)
@@ -401,13 +427,13 @@ class VersionedTable:
         if not touched:
             return 0, snap.version
         olds = [f for f in files if unquote(f["path"]) in touched]
-        rows = self._rows(snap, olds)
+        rows = self._identified(snap, olds) if _tracks(snap) else self._rows(snap, olds)
         new = {c: F.when(true, E.to_column(v, snap.schema) if isinstance(v, E.Expression) else v).otherwise(F.col(E.quoted(c))) for c, v in assignments.items()}
-        after = rows.select(*(new.get(f.name, F.col(E.quoted(f.name))).cast(f.dataType).alias(f.name) for f in snap.schema.fields))
+        after = rows.select(*(new.get(f.name, F.col(E.quoted(f.name))).cast(f.dataType).alias(f.name) for f in snap.schema.fields), *([F.col(ROW_ID), F.when(~true, F.col(ROW_VERSION)).alias(ROW_VERSION)] if _tracks(snap) else []))
         adds = self._write_files(snap, after)
         actions = [_remove(f) for f in olds] + self._tracked(snap, adds)
         if self._changes_on(snap):
-            before = rows.filter(true).withColumn("_change_type", F.lit("update_preimage"))
+            before = rows.filter(true).select(*(F.col(E.quoted(c)) for c in snap.schema.names), F.lit("update_preimage").alias("_change_type"))
             changed = rows.filter(true).select(*(new.get(f.name, F.col(E.quoted(f.name))).cast(f.dataType).alias(f.name) for f in snap.schema.fields), F.lit("update_postimage").alias("_change_type"))
             actions += [{"cdc": c | {"dataChange": False}} for c in self._write_files(snap, before.unionByName(changed), "_change_data/")]
         return sum(touched.values()), self.commit(snap, actions, "UPDATE")
@@ -459,21 +485,21 @@ class VersionedTable:
     # -- maintenance
 
     def compact(self, small: int = 32 << 20, target: int = 128 << 20, most: int = 100) -> int | None:
-        """Rewrite small files of each partition into larger ones, deletion vectors applied; no change of data. None if there is nothing to do."""
-        snap = self.snapshot()
+        """Rewrite small files of each partition into larger ones, deletion vectors applied; no change of data, row ids stay. None if there is nothing to do."""
+        snap = self._tracking_named()
         groups: dict[str, list[dict]] = {}
         for f in snap.files.values():
             if f["size"] < small or f.get("deletionVector"):
                 groups.setdefault(json.dumps(f["partitionValues"], sort_keys=True), []).append(f)
-        actions = []
+        actions, adds, rows = [], [], self._identified if _tracks(snap) else self._rows
         for files in groups.values():
             files = files[:most]
             if len(files) < 2 and not any(f.get("deletionVector") for f in files):
                 continue
             parts = max(1, -(-sum(f["size"] for f in files) // target))
-            adds = self._write_files(snap, self._rows(snap, files).coalesce(parts))
+            adds += [a | {"dataChange": False} for a in self._write_files(snap, rows(snap, files).coalesce(parts))]
             actions += [_remove(f, False) for f in files]
-            actions += [{next(iter(a)): a[next(iter(a))] | ({"dataChange": False} if "add" in a else {})} for a in self._tracked(snap, adds)]
+        actions += self._tracked(snap, adds) if actions else []
         return self.commit(snap, actions, "OPTIMIZE") if actions else None
 
     def vacuum(self, retention_ms: int = 7 * 86_400_000, dry_run: bool = False, now: int | None = None) -> list[str]:
@@ -495,7 +521,15 @@ class VersionedTable:
 
     def _change_schema(self, schema: T.StructType, operation: str, properties: dict | None = None) -> int:
         snap = self.snapshot()
-        return self.commit(snap, [{"metaData": _metadata(schema, snap.partition_columns, snap.properties | (properties or {}), snap.metadata_id)}], operation)
+        return self.commit(snap, [{"metaData": _metadata(schema, snap.partition_columns, _with_kept(snap.properties | (properties or {})), snap.metadata_id)}], operation)
+
+    def _tracking_named(self) -> Snapshot:
+        """The snapshot; where rows are tracked, the columns that carry on their ids have names in it."""
+        snap = self.snapshot()
+        if _tracks(snap) and _with_kept(snap.properties) != snap.properties:
+            self.set_properties({})
+            return self.snapshot()
+        return snap
 
     def set_properties(self, properties: dict[str, str]) -> int:
         return self._change_schema(self.snapshot().schema, "SET TBLPROPERTIES", properties)
@@ -549,6 +583,17 @@ def identity_field(name: str, start: int = 1, step: int = 1, explicit: bool = Fa
     return T.StructField(name, T.LongType(), False, {"delta.identity.start": start, "delta.identity.step": step, "delta.identity.allowExplicitInsert": explicit})
 
 
+def _tracks(snap: Snapshot) -> bool:
+    return snap.properties.get("delta.enableRowTracking") == "true"
+
+
+def _with_kept(properties: dict[str, str]) -> dict[str, str]:
+    """properties with names for the columns that carry on row ids and versions, if rows are tracked."""
+    if properties.get("delta.enableRowTracking") != "true":
+        return properties
+    return {p: f"_{c.strip('_').replace('_', '-')}-{uuid.uuid4()}" for c, p in _KEPT.items() if p not in properties} | properties
+
+
 def _can_checkpoint(spark: SparkSession) -> bool:
     if spark.sparkContext.getCheckpointDir() is None:
         import tempfile

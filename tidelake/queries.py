@@ -289,6 +289,18 @@ def row_tracking(spark, sf_dir):
     return t.row_ids().agg(F.count("*").alias("n"), F.min("row_id").alias("low"), F.max("row_id").alias("high"), F.countDistinct("row_id").alias("n_ids"))
 
 
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'changed' ELSE c_name END AS c_name, true AS same_id, CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS row_commit_version FROM customer")
+def row_tracking_rewrites(spark, sf_dir):
+    """Row ids after an update and a compaction, against those before."""
+    t, df = _customers(spark, sf_dir, properties={"delta.enableRowTracking": "true"})
+    t.write(df.repartition(5))
+    before = t.row_ids().select("c_custkey", F.col("row_id").alias("was"))
+    t.update(E.Compare("=", E.call("pmod", "c_custkey", E.Lit(3)), E.Lit(0)), {"c_name": E.Lit("changed")})
+    t.compact()
+    after = t.row_ids().join(before, "c_custkey")
+    return after.select("c_custkey", "c_name", (F.col("row_id") == F.col("was")).alias("same_id"), "row_commit_version")
+
+
 @query("SELECT n_nationkey, n_name, 'x' AS newcol FROM nation")
 def schema_evolution_default(spark, sf_dir):
     df = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
@@ -334,10 +346,10 @@ def orc_roundtrip(spark, sf_dir):
 def row_groups(spark, sf_dir):
     path = workspace(spark)
     orders = table(spark, sf_dir, "orders")
-    files.write_parquet(orders.coalesce(1), path, row_group_rows=5000)
-    spans = files.parquet_footers(spark, f"{path}/*.parquet").select(F.col("file"), "row_group", "first_row", "num_rows").distinct()
-    rows = spark.read.parquet(path).select("o_orderkey", "o_custkey", F.col("_metadata.row_index").alias("at"))
-    return rows.join(F.broadcast(spans), F.col("at").between(F.col("first_row"), F.col("first_row") + F.col("num_rows") - 1)).select("o_orderkey", "o_custkey")
+    files.write_parquet(orders.repartition(3), path, row_group_rows=5000)
+    spans = files.parquet_footers(spark, f"{path}/*.parquet").select(F.regexp_extract("file", "[^/]+$", 0).alias("file"), "row_group", "first_row", "num_rows").distinct()
+    rows = spark.read.parquet(path).select("o_orderkey", "o_custkey", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"))
+    return rows.join(spans, "file").filter(F.col("at").between(F.col("first_row"), F.col("first_row") + F.col("num_rows") - 1)).select("o_orderkey", "o_custkey")
 
 
 @query("""SELECT o_orderkey, year(o_orderdate) - 1970 AS y, (year(o_orderdate) - 1970) * 12 + month(o_orderdate) - 1 AS m, date_diff('day', DATE '1970-01-01', o_orderdate::DATE) AS d,
