@@ -88,4 +88,18 @@ QUERIES = {
     for q in (op1_simhash, op2_quality, op3_mixing, op4_token_files, op5_suffix_dedup, op6_line_dedup, op7_secrets, op8_divergence, op9_decontamination, op10_token_counts)
 }
 
-ORACLES: dict[str, str] = {}
+_WORDS = r"coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
+
+#: The other operators need hashes, tokenizers or fitted models that SQL lacks; tests compare them with plain versions.
+ORACLES: dict[str, str] = {
+    "op9_decontamination": f"""WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+items AS (SELECT item_id, least(len(w), 13) AS n, w FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT item_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM items)),
+places AS (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
+    FROM (SELECT r, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)),
+met AS (SELECT r, n, i, item_id FROM places JOIN windows USING (n, g)),
+hits AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM met) GROUP BY r),
+found AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS id FROM met) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM docs LEFT JOIN hits USING (r) LEFT JOIN found USING (r)""",
+}
