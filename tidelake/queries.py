@@ -301,6 +301,37 @@ def row_tracking_rewrites(spark, sf_dir):
     return after.select("c_custkey", "c_name", (F.col("row_id") == F.col("was")).alias("same_id"), "row_commit_version")
 
 
+@query("SELECT c_nationkey, c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) AS total, grouping(c_nationkey)::INT AS g FROM customer GROUP BY ROLLUP (c_nationkey, c_mktsegment)")
+def rollup_over_scan(spark, sf_dir):
+    t, df = _customers(spark, sf_dir, ["c_mktsegment"])
+    t.write(df)
+    rolled = t.read(["c_nationkey", "c_mktsegment", "c_acctbal"]).rollup("c_nationkey", "c_mktsegment")
+    return rolled.agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"), F.grouping("c_nationkey").cast("int").alias("g"))
+
+
+@query("SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 0 INTERSECT SELECT s_nationkey FROM supplier EXCEPT SELECT n_nationkey FROM nation WHERE n_regionkey = 1")
+def set_operations(spark, sf_dir):
+    t, df = _customers(spark, sf_dir)
+    t.write(df)
+    rich = t.read(["c_nationkey"], E.greater("c_acctbal", 0)).withColumnRenamed("c_nationkey", "k")
+    return rich.intersect(table(spark, sf_dir, "supplier").select("s_nationkey")).subtract(table(spark, sf_dir, "nation").filter("n_regionkey = 1").select("n_nationkey"))
+
+
+@query("""SELECT c_custkey, count(o_orderkey) AS n_orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey
+WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer) AND NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c_custkey AND o.o_orderstatus = 'P') GROUP BY c_custkey""")
+def subquery_and_outer_join(spark, sf_dir):
+    """A scalar subquery, an anti join and an outer join over versioned tables, as SQL."""
+    t, df = _customers(spark, sf_dir)
+    t.write(df)
+    orders = table(spark, sf_dir, "orders")
+    return spark.sql(
+        """WITH above AS (SELECT c_custkey FROM {c} WHERE c_acctbal > (SELECT avg(c_acctbal) FROM {c})),
+        quiet AS (SELECT c_custkey FROM above WHERE NOT EXISTS (SELECT 1 FROM {o} o WHERE o.o_custkey = c_custkey AND o.o_orderstatus = 'P'))
+        SELECT c_custkey, count(o_orderkey) AS n_orders FROM quiet LEFT JOIN {o} ON o_custkey = c_custkey GROUP BY c_custkey""",
+        c=t.read(), o=orders,
+    )
+
+
 @query("SELECT n_nationkey, n_name, 'x' AS newcol FROM nation")
 def schema_evolution_default(spark, sf_dir):
     df = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
@@ -360,7 +391,23 @@ def transform_time_truncate(spark, sf_dir):
                      transforms.truncate(F.col("o_custkey"), 100, T.LongType()).alias("t"), transforms.truncate(F.col("o_orderpriority"), 2, T.StringType()).alias("p"))
 
 
-@query()
+def _murmur3(value: str, rows: str) -> str:
+    """SQL for the 32-bit hash (seed 0) of a whole number's 8 little-endian bytes: rows with a column h."""
+    low = "4294967295"
+    steps, k = [f"SELECT *, 0::UBIGINT AS h, (({value})::HUGEINT & {low})::UBIGINT AS a, ((({value})::HUGEINT >> 32) & {low})::UBIGINT AS b FROM {rows}"], 0
+    for word in ("a", "b"):
+        steps.append(f"SELECT * REPLACE ({word} * 3432918353 & {low} AS {word}) FROM s{k}")
+        steps.append(f"SELECT * REPLACE ((({word} << 15 & {low}) | ({word} >> 17)) * 461845907 & {low} AS {word}) FROM s{k + 1}")
+        steps.append(f"SELECT * REPLACE (xor(h, {word}) AS h) FROM s{k + 2}")
+        steps.append(f"SELECT * REPLACE (((h << 13 & {low}) | (h >> 19)) * 5 + 3864292196 & {low} AS h) FROM s{k + 3}")
+        k += 4
+    steps.append(f"SELECT * REPLACE (xor(h, 8) AS h) FROM s{k}")
+    for i, (shift, factor) in enumerate(((16, 2246822507), (13, 3266489909), (16, 1)), k + 1):
+        steps.append(f"SELECT * REPLACE (xor(h, h >> {shift}) * {factor} & {low} AS h) FROM s{i}")
+    return "WITH " + ", ".join(f"s{i} AS ({s})" for i, s in enumerate(steps)) + f" SELECT * FROM s{len(steps) - 1}"
+
+
+@query(f"SELECT o_orderkey, ((h & 2147483647) % 16)::INT AS bucket FROM ({_murmur3('o_orderkey', 'orders')})")
 def transform_bucket(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", transforms.bucket(F.col("o_orderkey"), 16).alias("bucket"))
 
