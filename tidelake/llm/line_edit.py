@@ -18,6 +18,7 @@ other line is a few shifts, sums and logical operations. Built-in functions alon
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations, product
 
 from pyspark.sql import Column, DataFrame
@@ -27,8 +28,9 @@ from .common import saved
 
 #: (edits, least, most): edits allowed where the shorter line has so many code points.
 CLASSES = ((2, 16, (1 << 31) - 1), (1, 8, 15))
-HOT, FAN = 8, 4  # lines beyond which a key is crowded; segments that a damaged one is split into then
+HOT = 8  # lines beyond which a key is crowded
 BROADCAST_KEYS = 1_000_000  # shared keys up to which these are broadcast, 8 bytes each
+BROADCAST_TEXT = 4_000_000  # characters of lines with crowded keys up to which these are broadcast
 SPACE = " \t\n\x0b\f\r"
 
 
@@ -93,57 +95,157 @@ def _first_keys(rows: DataFrame, classes: tuple, probing: bool) -> DataFrame:
     return out.drop("__way")
 
 
-def _finer_keys(met: DataFrame, rows: DataFrame, edits: int, parts: int, probing: bool) -> DataFrame:
-    """The same as _first_keys, for lines that met under a crowded key: met has (id, short, damaged, less).
+def _narrowed(states: DataFrame, rows: DataFrame, shared: int) -> DataFrame:
+    """Live states one level below states (g, move, c, t, role, id, start, size, short, head, tail), with key and the number n of its stretches.
 
-    Each damaged segment is split into FAN; `edits` of the finer ones, in any way, are damaged now.
+    c names a stretch of `size` characters from `start` of line id, t is a hash of it. Stretches
+    of one g have `short` characters or more; in a state they begin with `head` and end with
+    `tail` equal ones, the rest is open. All edits of a pair lie in one half of what
+    is open (the first with the next `shared` characters too); whatever is outside of it is equal.
     """
-    finer = F.flatten(F.transform("damaged", lambda d: F.transform(F.sequence(F.lit(0), F.lit(FAN - 1)), lambda k: d * FAN + k)))
-    choices = [[F.get("__finer", i) for i in c] for c in combinations(range(FAN * edits), edits)]
-    sets = met.select("id", "short", "less", finer.alias("__finer")).select("id", "short", "less", F.explode(F.array(*(F.array(*c) for c in choices))).alias("damaged")).distinct()
-    # the runs of neighbours decide which moves are left, so they are looked up by the gaps between damaged segments
-    moves: dict[tuple[int, ...], dict[int, list[list[int]]]] = {}
-    for damaged, move in _ways(2 * edits, edits, probing):
-        gaps = tuple(int(y - x == 1) for x, y in zip(damaged, damaged[1:]))
-        known = moves.setdefault(gaps, {}).setdefault(sum(move), [])
-        known.extend([move] if move not in known else [])
-    gap = [(F.col("damaged")[k + 1] - F.col("damaged")[k] == 1).cast("int") for k in range(edits - 1)]
-    none = F.array().cast("array<array<int>>")
-    options = none
-    for gaps, by_less in moves.items():
-        for less, found in by_less.items():
-            test = F.col("less") == less
-            for g, c in zip(gaps, gap):
-                test = test & (c == g)
-            options = F.when(test, F.lit(found)).otherwise(options)
-    entries = sets.select("id", "short", "less", "damaged", F.explode(options).alias("moves")).join(rows, "id")
-    key = _key(F.col("short"), [F.col("damaged")[k] for k in range(edits)], [F.col("moves")[k] for k in range(edits)], F.lit(parts))
-    return entries.select("id", key.alias("key"), "short", "damaged", "less", F.exists("moves", lambda m: m != 0).alias("both"))
+    open_ = F.col("short") - F.col("head") - F.col("tail")
+    bound = lambda k: F.floor(open_ * k / 2).cast("int")
+    ends = [F.struct((F.col("head") + bound(k)).alias("head"), (F.col("tail") + open_ - F.least(bound(k + 1) + shared, open_)).alias("tail"), (bound(k + 1) > bound(k)).alias("some")) for k in range(2)]
+    same = ["g", "move", "c", "t", "role", "id", "start", "size", "short"]
+    deeper = _with_text(states, rows).withColumn("__ends", F.explode(F.filter(F.array(*ends), lambda e: e["some"]))).select(*same, "wide", "__ends.head", "__ends.tail")
+    begin = F.substring("wide", F.col("start") * 4 + 1, F.col("head") * 4)
+    end = F.substring("wide", (F.col("start") + F.col("size") - F.col("tail")) * 4 + 1, F.col("tail") * 4)
+    deeper = deeper.withColumn("key", F.xxhash64("g", "head", "tail", begin, end)).drop("wide").persist()
+    live = _live(deeper)
+    deeper.unpersist()
+    return live
+
+
+def _with_text(entries: DataFrame, rows: DataFrame) -> DataFrame:
+    """entries with the text of their line id, as wide."""
+    return entries.join(rows.select("id", "line"), "id").withColumn("wide", F.encode("line", "UTF-32")).drop("line")
+
+
+def _live(states: DataFrame) -> DataFrame:
+    """Those of states under whose key a different stretch may be linked, with their number n: one of role 0 with any, or, of move 1, with one of role 1."""
+    of_key = states.groupBy("key").agg(F.count("*").alias("n"), *(f(c).alias(f"__{f.__name__}_{c}") for c in ("t", "role") for f in (F.min, F.max)), F.max("move").alias("__move"))
+    live = saved(of_key.filter("__min_t < __max_t and __min_role = 0 and __max_role >= __move").select("key", "n"))
+    return saved(states.join(F.broadcast(live) if live.count() <= BROADCAST_KEYS else live, "key"))
+
+
+def _meeting(states: DataFrame) -> DataFrame:
+    """(g, a, b): names of different stretches that share a key, a of role 0, b of any, or, of move 1, of role 1. Repeats are possible."""
+    a = states.filter("role = 0").select("key", "g", F.col("c").alias("a"))
+    b = states.filter("role >= move").select("key", F.col("c").alias("b"))
+    return a.join(b, "key").filter("a != b").select("g", "a", "b")
+
+
+def _one_edit(states: DataFrame, rows: DataFrame) -> DataFrame:
+    """(g, a, b): as _meeting, of all stretches that lie within an edit and agree in head and tail, and few others that differ in two neighbouring characters.
+
+    What is open is halved, and only where another stretch agrees in all the rest.
+    """
+    states, found = _live(states), []
+    open_ = F.col("short") - F.col("head") - F.col("tail")
+    while True:
+        found.append(_meeting(states.filter(open_ <= 1)))
+        states = states.filter(open_ > 1)
+        if states.isEmpty():
+            return saved(reduce(DataFrame.unionByName, found).distinct())
+        states = _narrowed(states.drop("key", "n"), rows, 0)
+
+
+def _stretches(tasks: DataFrame, rows: DataFrame, before: bool) -> DataFrame:
+    """tasks with the stretches of what is open before the cut or after it, as _one_edit takes them.
+
+    A line of move 1 and role 1 is cut one character later. Where only the character between
+    the two cuts is an edit, both edits lie in one of _crowd's halves; so the characters that
+    end, or begin, the stretches of move 1 have to agree.
+    """
+    at = F.col("head") + F.col("cut") + F.col("role") * F.col("move")
+    start, stop = (F.col("head"), at) if before else (at, F.col("size") - F.col("tail"))
+    short = F.col("cut") if before else F.col("short") - F.col("head") - F.col("tail") - F.col("cut") - F.col("move")
+    out = tasks.select("g", "move", "id", "role", start.alias("start"), (stop - start).alias("size"), short.alias("short"))
+    out = _with_text(out, rows)
+    text = F.substring("wide", F.col("start") * 4 + 1, F.col("size") * 4)
+    beside = F.substring("wide", (F.col("start") + (F.col("size") - 1 if before else F.lit(0))) * 4 + 1, F.col("move") * 4)
+    out = out.withColumns({"t": F.xxhash64("g", text), "key": F.xxhash64("g", beside), "c": F.concat_ws(":", F.xxhash64("g", text), F.xxhash64(F.lit(7), text))}).drop("wide")
+    return out.withColumns({"head": F.lit(0) if before else F.col("move"), "tail": F.col("move") if before else F.lit(0)})
+
+
+def _one_each(tasks: DataFrame, rows: DataFrame) -> DataFrame:
+    """(a, b): ids of lines of one g with an edit before the cut and one after it.
+
+    tasks: (g, id, role, size, short, head, tail, cut). The longer line's cut may lie one
+    character later (move 1), and so may that of one of two lines of a size. Stretches before
+    the cut are linked first, and only their lines go on.
+    """
+    kinds = F.when(F.col("size") - F.col("short") < 2, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
+    tasks = tasks.withColumn("move", F.explode(kinds)).withColumn("g", F.xxhash64("g", "move"))
+    tasks = tasks.withColumn("role", F.explode(F.when((F.col("move") == 1) & (F.col("role") == 0), F.array(F.lit(0), F.lit(1))).otherwise(F.array("role"))))
+    sides = []
+    for before in (True, False):
+        named = saved(_stretches(tasks, rows, before))
+        # of equal stretches one is enough: of role 0 if there is one, and in move 1 one of each role
+        one = named.groupBy("g", "move", "c", "t", (F.col("role") * F.col("move")).alias("__kind")).agg(F.min(F.struct("role", "id", "start", "size", "short", "head", "tail", "key")).alias("__one"))
+        links = _one_edit(one.select("g", "move", "c", "t", "__one.*"), rows)
+        name = "x" if before else "y"
+        ends = [named.filter(who).select("g", "id", F.col("c").alias(name)).join(links.select("g", F.col(end).alias(name)).distinct(), ["g", name]) for who, end in (("role = 0", "a"), ("role >= move", "b"))]
+        sides.append((*(saved(e) for e in ends), links))
+        linked = sides[0][0].unionByName(sides[0][1]).select("g", "id").distinct()
+        tasks = tasks.join(linked, ["g", "id"], "left_semi")
+    (a_before, b_before, links_before), (a_after, b_after, links_after) = sides
+    # a's links before the cut and b's after it meet where the one's stretches are the other's
+    a = a_before.join(a_after, ["g", "id"]).join(links_before.withColumnRenamed("a", "x"), ["g", "x"]).select("g", F.col("b").alias("x"), "y", F.col("id").alias("a"))
+    b = b_before.join(b_after, ["g", "id"]).join(links_after.withColumnRenamed("b", "y"), ["g", "y"]).select("g", "x", F.col("a").alias("y"), F.col("id").alias("b"))
+    return a.join(b, ["g", "x", "y"]).filter("a != b").select("a", "b")
+
+
+def _crowd(met: DataFrame, rows: DataFrame, edits: int, hot: int) -> DataFrame:
+    """(a, b): ids among met (id, short: the size of a pair's shorter line), with all pairs within 1 or 2 edits; both directions and repeats are possible.
+
+    Two edits lie in one half of what is open, so that the other half is equal, or there is
+    one in each. Halves that agree for up to `hot` lines are joined, others halved again.
+    """
+    zero = {c: F.lit(0) for c in ("move", "start", "head", "tail")}
+    states = met.join(rows.select("id", "size"), "id").withColumns({"c": F.col("id"), "t": F.xxhash64("id"), **zero})
+    states = states.withColumns({"g": F.xxhash64("short"), "key": F.xxhash64("short"), "role": (F.col("size") > F.col("short")).cast("int")})
+    if edits == 1:
+        return _one_edit(states, rows).select("a", "b")
+    states, found, tasks = _live(states), [], []
+    open_ = F.col("short") - F.col("head") - F.col("tail")
+    while True:
+        crowded = (F.col("n") > hot) & (open_ > 3)
+        found.append(_meeting(states.filter(~crowded)).select("a", "b"))
+        states = states.filter(crowded)
+        if states.isEmpty():
+            break
+        tasks.append(states.select(F.col("key").alias("g"), "id", "role", "size", "short", "head", "tail", F.floor(open_ / 2).cast("int").alias("cut")))
+        states = _narrowed(states.drop("key", "n"), rows, 1)
+    return reduce(DataFrame.unionByName, found + [_one_each(reduce(DataFrame.unionByName, tasks), rows)] * bool(tasks))
 
 
 def _candidates(rows: DataFrame, edits: int, least: int, most: int, hot: int) -> DataFrame:
     """(a, b): ids of lines that share a key, repeats included.
 
-    A key that more than `hot` lines are indexed under is not joined: its lines meet again
-    under longer keys, of more and smaller segments, until a segment would be empty. Keys
-    that are crowded then leave a few characters open, so what they join are mostly links.
+    A key that more than `hot` lines are indexed under is not joined: its lines meet in _crowd.
     Of lines of one size and no moves, only the one of smaller id needs to probe.
     """
-    rows, parts, found = rows.select("id", "wide", "size"), edits + 1, None
+    lines, rows = rows.select("id", "line", "size"), rows.select("id", "wide", "size")
     index, probes = (_first_keys(rows, ((edits, least, most),), probing).drop("wide", "size") for probing in (False, True))
-    while True:
-        crowded = index.groupBy("key").agg(F.count("*").alias("n"), F.min("short").alias("short"))
-        crowded = saved(crowded.filter((F.col("n") > hot) & (F.col("short") >= parts * FAN)).select("key"))
-        p = probes.select("key", F.col("id").alias("a"), "both").alias("p")
-        i = index.join(crowded, "key", "left_anti").select("key", F.col("id").alias("b")).alias("i")
-        pairs = p.join(i, (F.col("p.key") == F.col("i.key")) & (F.col("a") != F.col("b")) & (F.col("both") | (F.col("a") < F.col("b"))))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        found = pairs if found is None else found.unionByName(pairs)
-        if crowded.isEmpty():
-            return found
-        met = [entry.join(crowded, "key", "left_semi").select("id", "short", "damaged", "less").distinct() for entry in (index, probes)]
-        parts *= FAN
-        index, probes = (saved(_finer_keys(entry, rows, edits, parts, probing)) for entry, probing in zip(met, (False, True)))
+    crowded = saved(index.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("key"))
+    p = probes.select("key", F.col("id").alias("a"), "both").alias("p")
+    i = index.join(crowded, "key", "left_anti").select("key", F.col("id").alias("b")).alias("i")
+    pairs = p.join(i, (F.col("p.key") == F.col("i.key")) & (F.col("a") != F.col("b")) & (F.col("both") | (F.col("a") < F.col("b"))))
+    if not crowded.isEmpty():
+        met = saved(probes.join(crowded, "key", "left_semi").select("id", "short").distinct())  # a line probes what it is indexed under
+        # numbers for names, and texts as they are, keep what is shuffled small
+        some = saved(lines.join(met, "id", "left_semi").withColumn("number", F.monotonically_increasing_id()))
+        names = some.select("id", "number")
+        met = met.join(names, "id").select(F.col("number").alias("id"), "short")
+        texts = some.select(F.col("number").alias("id"), "line", "size")
+        if (some.agg(F.sum("size")).first()[0] or 0) <= BROADCAST_TEXT:
+            texts = F.broadcast(texts)
+        crowd = _crowd(met, texts, edits, hot)
+        for end in ("a", "b"):
+            crowd = crowd.join(names.select(F.col("id").alias("__name"), F.col("number").alias(end)), end).drop(end).withColumnRenamed("__name", end)
+        pairs = pairs.select("a", "b").unionByName(crowd)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def bounded_distance(a: str, b: str, edits: int) -> Column:
